@@ -31,3 +31,33 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), scratch(spark, "count-cache") + "/cache")
+
+
+@query
+def op3_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.bitplanes import digest_ids, write_ids
+    from graphloom.llm.shared import scratch
+
+    return digest_ids(write_ids(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), scratch(spark, "planes"), end_id=0))
+
+
+@query
+def op5_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.shared import scratch
+    from graphloom.llm.warc import read_warc, write_warc
+
+    return read_warc(write_warc(_table(spark, sf_dir, "pages"), scratch(spark, "warc"))).drop("url")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.decontaminate import report
+
+    rows = report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
