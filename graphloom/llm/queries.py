@@ -84,3 +84,39 @@ def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     rows = score_texts(_table(spark, sf_dir, "documents"), fold != 0)
     return rows.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.hamming import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=10)
+
+
+ORACLES["op6_hamming_topk"] = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: CASE WHEN z[1] IS DISTINCT FROM z[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM c AS q JOIN c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.perspectives import rotate
+
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
+def _op10_oracle() -> str:
+    from graphloom.llm.perspectives import ORACLE
+
+    return ORACLE
+
+
+ORACLES["op10_perspective_rotation"] = _op10_oracle()
