@@ -120,3 +120,10 @@ def _op10_oracle() -> str:
 
 
 ORACLES["op10_perspective_rotation"] = _op10_oracle()
+
+
+@query
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.dart_minhash import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
