@@ -127,3 +127,13 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.dart_minhash import classes
 
     return classes(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.packing import pack
+
+    rows = pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, window=4096)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
