@@ -1 +1 @@
-"""Plans of the engine."""
+"""Queries by name; importing the package registers all of them."""

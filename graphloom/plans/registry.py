@@ -21,3 +21,15 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"graphloom.plans.{name}")
+
+
+MODULES = ["graphs"]
+load()

@@ -30,3 +30,17 @@ def local_session(cpus: int | str | None = None, partitions: int = 8) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided tables; a file or a folder of Parquet parts."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a table to the reliable checkpoint folder: its lineage ends here.
+
+    The folder is the session's ``spark.checkpoint.dir``; one of our own is set
+    only where there is none.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint(eager=True)
