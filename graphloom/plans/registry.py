@@ -31,5 +31,5 @@ def load() -> None:
         importlib.import_module(f"graphloom.plans.{name}")
 
 
-MODULES = ["graphs"]
+MODULES = ["graphs", "health", "traffic"]
 load()
