@@ -31,5 +31,5 @@ def load() -> None:
         importlib.import_module(f"graphloom.plans.{name}")
 
 
-MODULES = ["graphs", "health", "traffic"]
+MODULES = ["graphs", "health", "traffic", "joins"]
 load()
