@@ -31,5 +31,5 @@ def load() -> None:
         importlib.import_module(f"graphloom.plans.{name}")
 
 
-MODULES = ["graphs", "health", "traffic", "joins", "reports", "clones", "symbols", "texts"]
+MODULES = ["graphs", "health", "traffic", "joins", "reports", "clones", "symbols", "texts", "formats"]
 load()
