@@ -86,13 +86,16 @@ def gzip_member(data: bytes, level: int) -> bytes:
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a .warc.gz file, member by member."""
-    rest = data
-    while rest:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(rest)
-        if not z.eof:
-            raise ValueError("the archive ends within a record")
-        rest = z.unused_data if len(z.unused_data) < 1 << 16 else memoryview(rest)[len(rest) - len(z.unused_data) :]
+    at, step = 0, 1 << 16
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            parts.append(z.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(z.unused_data) if z.unused_data else min(at, len(data))
+        raw = b"".join(parts)
         head, _, after = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = after[: int(fields["Content-Length"])]
