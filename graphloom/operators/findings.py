@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import allowed_increase
 
+#: Kinds that warn, or are off, unless a rule says otherwise; the others are errors.
+DEFAULT_WARN = ["unused-dependency-override", "dev-dependency-in-production", "code-duplication", "unused-widget-param", "unrendered-widget", "raw-flutter-style-value", "near-duplicate-theme-token", "unused-theme-extension-token"]
+DEFAULT_OFF = ["private-widget-class", "widget-top-level-function-boundary", "missing-context-mounted-after-await"]
 ORDER = ["rule_id", "path", "line", "col", "message"]
 
 
@@ -36,6 +39,26 @@ def identity(columns: list[str]) -> Column:
     return F.when(F.col("fingerprint").isNotNull(), by_print).when(F.col("kind").isin("high-complexity", "high-cyclomatic-complexity", "high-cognitive-complexity"), by_symbol).otherwise(by_text)
 
 
+def default_levels(kinds: DataFrame) -> DataFrame:
+    """name and level of finding kinds without any configuration."""
+    level = F.when(F.col("name").isin(*DEFAULT_WARN), "warn").when(F.col("name").isin(*DEFAULT_OFF), "off").otherwise("error")
+    return kinds.select(F.col("kind").alias("name")).distinct().withColumn("level", level)
+
+
+def rule_aliases(rule: str) -> list[str]:
+    """Names that a rule or directive may use for a rule id: the id, its tail, the tail
+    without a family prefix, plurals and short forms of dependency rules, and all."""
+    tail = rule.rsplit("/", 1)[-1].lower()
+    names = [rule, tail, tail.removeprefix("security-")]
+    if tail.endswith("dependency"):
+        names += [tail[:-1] + "ies", tail.removesuffix("dependency") + "deps"]
+    if tail.startswith("dev-dependency-"):
+        names += [tail.replace("dependency", "dependencies"), tail.replace("dependency", "deps")]
+    if tail.endswith("execution"):
+        names.append(tail.removeprefix("security-").removesuffix("ution"))
+    return list(dict.fromkeys([*names, "all"]))
+
+
 def suppress(findings: DataFrame, directives: DataFrame, require_reasons: bool = False) -> DataFrame:
     """Findings without those that a directive on the line before names; stale
     directives and, if wanted, ones without a reason become findings.

@@ -148,17 +148,18 @@ def policy_rules(spark: SparkSession, packs: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "pack string, rule string, kind string, pattern string, severity string")
 
 
+#: Of each preset, the folders under lib and those that they must not use.
 PRESETS = {
-    "layered": [("presentation", "data"), ("domain", "presentation"), ("domain", "data"), ("data", "presentation")],
-    "clean": [("domain", "data"), ("domain", "presentation"), ("core", "presentation")],
-    "feature-first": [("core", "features"), ("shared", "features")],
-    "ui-domain": [("domain", "ui"), ("data", "ui")],
+    "layered": {"domain": "data application infrastructure presentation ui", "data": "presentation ui", "application": "infrastructure presentation ui"},
+    "hexagonal": {"domain": "application infrastructure adapters presentation ui", "application": "infrastructure adapters presentation ui"},
+    "feature-sliced": {"shared": "entities features widgets pages app", "entities": "features widgets pages app", "features": "widgets pages app", "widgets": "pages app", "pages": "app"},
+    "bulletproof": {"core": "features app pages", "shared": "features app pages", "features": "app pages"},
 }
 
 
 def preset_rules(spark: SparkSession, names: list[str]) -> DataFrame:
     """Boundary rules of named presets: pairs of folders under lib."""
-    rows = sorted({(f"lib/{a}", f"lib/{b}") for n in names for a, b in PRESETS[n]})
+    rows = sorted({(f"lib/{a}", f"lib/{b}") for n in names for a, outer in PRESETS[n].items() for b in outer.split()})
     return spark.createDataFrame(rows, "rule_from string, rule_disallow string")
 
 

@@ -223,3 +223,10 @@ def test_watch_gives_the_batch_result(spark, tmp_path):
         q.awaitTermination()
         (root / "b.dart").write_text("x")
     assert seen == [[("a.dart", 2)], [("a.dart", 2), ("b.dart", 1)]]
+
+
+def test_default_levels_and_aliases(spark):
+    kinds = spark.createDataFrame([("code-duplication",), ("private-widget-class",), ("dead-file",)], "kind string")
+    assert {r.name: r.level for r in findings.default_levels(kinds).collect()} == {"code-duplication": "warn", "private-widget-class": "off", "dead-file": "error"}
+    assert {"unused-dev-deps", "unused-dev-dependencies", "all"} <= set(findings.rule_aliases("x/unused-dev-dependency"))
+    assert {"process-exec", "process-execution"} <= set(findings.rule_aliases("x/security-process-execution"))
