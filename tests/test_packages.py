@@ -49,7 +49,7 @@ def test_config_and_packs(spark, tmp_path):
     with pytest.raises(p.ConfigError):
         p.policy_rules(spark, [{"name": "x", "rules": [{"kind": "banned-call"}]}])
     count = lambda *n: p.preset_rules(spark, list(n)).count()
-    assert [count(n) for n in p.PRESETS] == [10, 9, 15, 8] and count("layered", "hexagonal") == 13
+    assert [count(n) for n in p.PRESETS] == [10, 9, 15, 8] and count("layered", "hexagonal") == 12
 
 
 def test_version_control(spark, tmp_path):
