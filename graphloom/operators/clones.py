@@ -45,9 +45,9 @@ def windows(lines: DataFrame, min_lines: int = 5, min_tokens: int = 50) -> DataF
     Sums of tokens up to each line are increasing, so the end is found by a binary
     search in the file's own array of sums: no pairs of lines are formed.
     """
-    per = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "tokens", "text"))).alias("l"))
-    sums = F.expr("aggregate(l, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x.tokens))")
-    per = per.withColumn("s", sums).withColumn("n", F.size("l"))
+    upto = F.sum("tokens").over(Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    per = lines.withColumn("upto", upto).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "upto", "text"))).alias("l"))
+    per = per.withColumn("s", F.expr("concat(array(0L), transform(l, x -> x.upto))")).withColumn("n", F.size("l"))
     # Steps of a binary search, as many as an int has bits and no more than the file needs.
     find = """transform(sequence(0, n - 1), i -> named_struct('i', i, 'e', greatest(i + {ml}, aggregate(sequence(1, 31), named_struct('lo', i, 'hi', n + 1),
         (a, k) -> CASE WHEN a.hi - a.lo <= 1 THEN a
@@ -90,7 +90,8 @@ def collapse(group: DataFrame) -> DataFrame:
     order of the ranges of a file: a group is tied to the one before it that
     reaches furthest, which is enough to connect all that overlap.
     """
-    g = cut(group.withColumn("gid", F.row_number().over(Window.orderBy(*ordered(group)))))
+    # Ids of sorted partitions grow in the sort's order; written down, they stay what they are.
+    g = cut(group.orderBy(*ordered(group)).withColumn("gid", F.monotonically_increasing_id()))
     inst = g.select("gid", F.explode("instances").alias("i")).select("gid", "i.*")
     w = Window.partitionBy("path").orderBy("start_line", "end_line", "gid").rowsBetween(Window.unboundedPreceding, -1)
     far = inst.withColumn("_p", F.max(F.struct("end_line", "gid")).over(w)).where(F.col("_p.end_line") >= F.col("start_line"))
@@ -109,7 +110,7 @@ def collapse(group: DataFrame) -> DataFrame:
                 ids.append(gid)
         return pd.DataFrame({"gid": ids})
 
-    tied = rows.groupBy("component").applyInPandas(greedy, "gid int")
+    tied = rows.groupBy("component").applyInPandas(greedy, "gid bigint")
     alone = g.join(parts, "gid", "left_anti").select("gid")
     return g.join(alone.unionByName(tied), "gid", "left_semi").drop("gid")
 

@@ -59,7 +59,7 @@ def _type(edges: DataFrame) -> str:
 
 def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", small: int = SMALL) -> DataFrame:
     """``node`` and ``depth`` (hops from the nearest seed) of all that the seeds lead to, themselves included."""
-    e = _edges(edges, src, dst)
+    e = cut(_edges(edges, src, dst))  # made once: it is counted, then walked
     start = seeds.select(F.col(seeds.columns[0]).alias("a")).where("a IS NOT NULL").distinct()
     if _fits(e, small) and _fits(start, small):
 
@@ -78,7 +78,6 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "
             yield from depth.items()
 
         return _in_one_task([e, start], f"node {_type(e)}, depth bigint", walk)
-    e = cut(e)
     seen = cut(start.select(F.col("a").alias("node"), F.lit(0).cast("bigint").alias("depth")))
     front, level = seen, 0
     while True:
@@ -118,14 +117,14 @@ def callers(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", self_loops: bool = True, small: int = SMALL) -> DataFrame:
     """``node`` and ``component`` (smallest member) of every node on a cycle: strongly
     connected components of several nodes, and self loops if wanted."""
-    e = _edges(edges, src, dst)
+    e = cut(_edges(edges, src, dst))
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     e = e.where("a != b")
     kind = _type(e)
     if _fits(e, small):
         found = _in_one_task([e], f"node {kind}, component {kind}", _tarjan)
     else:
-        found = _coloured(cut(e))
+        found = _coloured(e)
     if not self_loops:
         return found
     return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
@@ -233,8 +232,8 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int = 8, src: str = "src",
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node``, ``depth`` and ``parent``: the smallest predecessor one hop nearer to a seed."""
-    e = _edges(edges, src, dst)
-    d = reachable(edges, seeds, src, dst)
+    e = cut(_edges(edges, src, dst))
+    d = cut(reachable(e, seeds, "a", "b"))
     a, b = d.alias("p"), d.alias("q")
     parents = e.join(a, F.col("a") == F.col("p.node")).join(b, F.col("b") == F.col("q.node")).where("q.depth = p.depth + 1")
     first = parents.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
