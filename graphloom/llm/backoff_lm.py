@@ -17,8 +17,8 @@ and arcs that its texts can visit, however large the corpus, and a frequent
 n-gram is one entry a block: no key is hot.
 
 Defined results: a null text counts as empty and is scored for its end alone;
-rows that repeat are counted and scored each; a null doc_id is text ``null`` to
-the fold; an empty table gives an empty table; a corpus without training rows
+rows that repeat are counted and scored each; rows where ``training`` is null (as
+for a null doc_id) are scored and not learnt from; an empty table gives an empty table; a corpus without training rows
 gives every token the same probability; other columns are ignored.
 """
 

@@ -9,6 +9,7 @@ word by word; every word inside a verified occurrence is hit.
 The window set is broadcast only while it holds at most ``max_broadcast``
 windows. Beyond that, windows are exchanged by hash instead: documents emit
 the hashes of their windows, which join the benchmark's on two 64-bit hashes.
+Both ways give the same rows.
 
 Defined results: a null or empty text has no words and is clean; repeated rows
 each get their row; repeated benchmark items count by item_id; a null item_id
@@ -142,8 +143,8 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_broadcast
     return docs.mapInPandas(scan, REPORT)
 
 
-def _exchanged(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """The same report for a benchmark of any size: windows meet by hash in a shuffle."""
+def _spans(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """rid, items and spans (first word, word after the last) of the rows with hits: windows meet by hash in a shuffle."""
 
     def item_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -161,7 +162,6 @@ def _exchanged(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     items = names.mapInPandas(item_hashes, "width int, h bigint, check bigint, item string").distinct()
     items = materialise(items, "item-windows")
     widths = [r[0] for r in items.select("width").distinct().collect()]  # 1 to width: bounded
-    rows = materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "docs")
 
     def doc_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -179,7 +179,13 @@ def _exchanged(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     # Windows that many documents share meet few items: the side of the items is spread over salts.
     salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     found = seen.withColumn("salt", F.pmod("rid", F.lit(16)).cast("int")).join(salted, ["width", "h", "check", "salt"])
-    spans = found.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("width")).alias("to")))).alias("spans"))
+    return found.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("width")).alias("to")))).alias("spans"))
+
+
+def _exchanged(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """The same report for a benchmark of any size."""
+    rows = materialise(docs.withColumn("rid", F.monotonically_increasing_id()), "docs")
+    spans = _spans(rows, benchmark, width)
     # Words covered by the spans, in order of their start.
     step = "aggregate(spans, named_struct('n', 0L, 'to', 0L), (a, s) -> named_struct('n', a.n + greatest(s.to - greatest(s.at, a.to), 0L), 'to', greatest(a.to, s.to)), a -> a.n)"
     counts = spans.select("rid", "items", F.expr(step).alias("n_hit"))
@@ -197,29 +203,39 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_broadcast:
     hit words go, with the text between words of one hit run; the rest of the
     text stays as it is, and so does a document without hits.
     """
+    at, schema = docs.columns.index("text"), docs.schema
     known = item_windows(benchmark, width, max_broadcast)
     if known is None:
-        raise ValueError("the benchmark is too large to clean texts by broadcast; use report() and drop by doc_id")
+        rows = materialise(docs.withColumn("_gl_rid", F.monotonically_increasing_id()), "docs")
+        spans = _spans(rows.select(F.col("_gl_rid").alias("rid"), "text"), benchmark, width)
+        docs = rows.join(spans.select(F.col("rid").alias("_gl_rid"), F.col("spans").alias("_gl_spans")), "_gl_rid", "left").select(*docs.columns, "_gl_spans")
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    at = docs.columns.index("text")
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         windows, hashes = shared.value, Hashes()
         for b in batches:
+            spans = b["_gl_spans"].to_pylist() if windows is None else None
             keep, texts = [], []
-            for text in b.column(at):
+            for i, text in enumerate(b.column(at)):
                 text = text.as_py()
                 w = words(text)
-                hit, _ = windows.scan(w, _hashed(w, hashes))
+                if windows is None:
+                    hit = np.zeros(len(w), bool)
+                    for s in spans[i] or ():
+                        hit[s["at"] : s["to"]] = True
+                else:
+                    hit, _ = windows.scan(w, _hashed(w, hashes))
                 n = int(hit.sum())
                 keep.append(not (n and 20 * n >= len(w)))
                 texts.append(without(text, hit) if n and keep[-1] else text)
+            if windows is None:
+                b = b.select([f.name for f in b.schema][:-1])
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(scan, schema)
 
 
 def without(text: str, hit: np.ndarray) -> str:

@@ -57,15 +57,16 @@ def test_report_matches_brute_force(spark, limit):
     assert clean.agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_clean_drops_documents_and_cuts_spans(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_clean_drops_documents_and_cuts_spans(spark, limit):
     item = " ".join(f"q{i}" for i in range(20))
     filler = " ".join(f"f{i}" for i in range(600))
     rows = [(1, item, 5), (2, filler, 5), (3, f"{filler}. {item.upper()}, {filler}", 5), (4, None, None), (5, "", 5), (6, "q1 q2", 5)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int")
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    got = {r.doc_id: r.text for r in decontaminate.clean(d, b).collect()}
+    got = {r.doc_id: r.text for r in decontaminate.clean(d, b, max_broadcast=limit).collect()}
     assert got == {2: filler, 3: f"{filler}. , {filler}", 4: None, 5: "", 6: "q1 q2"}
-    assert decontaminate.clean(d, b).columns == d.columns
+    assert decontaminate.clean(d, b, max_broadcast=limit).columns == d.columns
 
 
 def test_a_large_item_set_digest():
