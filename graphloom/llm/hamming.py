@@ -74,18 +74,21 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
 
     best: DataFrame | None = None
     # need: how many segments to probe in the next round; all, as long as fewer than k are known
-    active = wanted.select("q", "code", F.lit(m).alias("need"))
+    active = wanted.select("q", "code", F.lit(m).alias("need"), F.lit(d).cast("bigint").alias("bound"))
     for s in range(width + 1):
         masks = [sum(1 << b for b in c) for r in ((0, 1) if s == 1 else (s,)) for c in combinations(range(width), r)] if s else None
         if masks is None:
             continue  # radius 0 is probed along with radius 1
         flips = F.array(*map(F.lit, masks)) if len(masks) <= 256 else F.from_json(F.lit(str(masks)), "array<bigint>")
-        probes = active.select("q", F.col("code").alias("asked"), "need", F.posexplode("code").alias("seg", "own")).where(F.col("seg") < F.col("need"))
-        probes = probes.withColumn("flip", F.explode(flips)).select("q", "asked", "seg", F.col("own").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
+        probes = active.select("q", F.col("code").alias("asked"), "need", "bound", F.posexplode("code").alias("seg", "own")).where(F.col("seg") < F.col("need"))
+        probes = probes.withColumn("flip", F.explode(flips)).select("q", "asked", "bound", "seg", F.col("own").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
         probes = probes.join(hot, ["seg", "value"], "left")
         every = F.sequence(F.lit(0), F.lit(_SALTS - 1))
         probes = probes.withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0))))).drop("hot")
-        met = probes.join(index, ["seg", "value", "salt"]).select("q", "code", "ids", "least", _distance("asked", "code").alias("distance"))
+        # Its size is estimated as that of the few rows before the explodes: it must not be broadcast.
+        met = probes.join(index.hint("shuffle_hash"), ["seg", "value", "salt"]).select("q", "code", "ids", "least", "bound", _distance("asked", "code").alias("distance"))
+        # What is farther than the kth known can't be among the k nearest.
+        met = met.where("distance <= bound").drop("bound")
         if best is not None:
             met = met.unionByName(best.select(met.columns))
         # A code can be met under several segments: its copies are next to each other in this order.
@@ -98,7 +101,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         covered = F.when(F.col("need") >= m, F.lit(m * (s + 1) - 1)).otherwise(F.lit(m * s - 1) + F.col("need"))
         left = active.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > covered))
         missing = (F.col("kth") - F.lit(m * (s + 1) - 1)).cast("int")
-        active = materialise(left.select("q", "code", F.least(F.lit(m), F.coalesce(missing, F.lit(m))).alias("need")), "active")
+        bound = F.coalesce(F.col("kth"), F.lit(d).cast("bigint"))
+        active = materialise(left.select("q", "code", F.least(F.lit(m), F.coalesce(missing, F.lit(m))).alias("need"), bound.alias("bound")), "active")
         if active.isEmpty():
             break
     lists = best.groupBy("q").agg(F.collect_list(F.struct("distance", "ids")).alias("found"))  # at most (k + 1) ** 2 ids
