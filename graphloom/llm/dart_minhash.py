@@ -161,7 +161,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held.append(s)
                 at.append(i)
                 size += len(s) + 1000
-            if size > 300_000:
+            if size > 100_000:
                 flush()
                 size = 0
         flush()
@@ -206,7 +206,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
                     centre, salt = u["centre"], u["salt"]
                     out.append((node if centre is None else centre, salt, None if centre is None else node, data))
                     size += len(data)
-                if size > 16 << 20:
+                if size > 4 << 20:
                     yield _frame(out)
                     out, size = [], 0
             if out:
@@ -215,7 +215,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     def _frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["centre", "salt", "node", "data"]).astype({"node": "Int64"})
 
-    sets = materialise(texts.mapInPandas(emit, "centre bigint, salt int, node bigint, data binary"), "sets")
+    sets = materialise(texts.mapInPandas(emit, "centre bigint, salt int, node bigint, data binary"), "sets", 1000)
     own = sets.where("node is null").select("centre", "salt", F.col("data").alias("other"))
     both = sets.where("node is not null").join(own, ["centre", "salt"])
 
@@ -228,7 +228,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
                 ok.append(both >= least * (len(p) + len(q) - both) and both > 0)
             yield b.loc[ok, ["centre", "node"]]
 
-    return materialise(both.select("centre", "node", "data", "other").mapInPandas(compare, "centre bigint, node bigint").distinct(), "links")
+    return materialise(both.select("centre", "node", "data", "other").mapInPandas(compare, "centre bigint, node bigint").distinct(), "links", 500)
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialise(docs.mapInPandas(_sketch, "doc_id bigint, digest binary, bands array<bigint>"), "sketches")
+    rows = materialise(docs.mapInPandas(_sketch, "doc_id bigint, digest binary, bands array<bigint>"), "sketches", 2000)
     nodes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = _members(nodes)

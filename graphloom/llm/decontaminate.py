@@ -44,7 +44,7 @@ class Hashes(dict):
     """Word to 64-bit hash; starts anew at a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got

@@ -11,7 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext, suppress
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +74,24 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows in an Arrow batch of the jobs run meanwhile; wide rows would fill a worker's memory otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{scratch(spark, what)}/t"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, batch_rows) if batch_rows else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -78,7 +78,7 @@ class _Runs(_Words):
 class Encoder:
     """Ids of whole texts, as packed little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.path, self.max_words = path, max_words
@@ -121,7 +121,7 @@ class Encoder:
         if got is None:
             mapped = "".join([_LETTERS[b] for b in piece.encode()])
             got = b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
-            if len(self.pieces) >= self.max_words:
+            if len(self.pieces) >= self.max_words // 2:
                 self.pieces.clear()
             self.pieces[piece] = got
         return got
@@ -174,6 +174,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, max_words: int = 500_000) -> Encoder:
+def encoder(path: str, max_words: int = 250_000) -> Encoder:
     """One encoder a worker process and tokenizer file; tasks that follow share its cache."""
     return Encoder(path, max_words)

@@ -85,7 +85,7 @@ def test_a_bucket_of_several_classes_is_worked_off(spark, monkeypatch):
     table = spark.createDataFrame([(int(i), bytes(d), [int(x) for x in b]) for i, d, b in sketch.itertuples(index=False)], "doc_id bigint, digest binary, bands array<bigint>")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     real = dm.materialise
-    monkeypatch.setattr(dm, "materialise", lambda df, what: table if what == "sketches" else real(df, what))
+    monkeypatch.setattr(dm, "materialise", lambda df, what, *a: table if what == "sketches" else real(df, what, *a))
     assert sorted(map(tuple, dm.classes(docs).collect()), key=str) == brute(rows)
     assert hashes is not None
 
