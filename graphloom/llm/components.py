@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import materialise, salted_left_join
+from graphloom.llm.shared import materialise, release, salted_left_join
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each u's smallest neighbour or u itself, beside its edges (u, v)."""
-    least = edges.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
-    return salted_left_join(edges, materialise(least, "least"), "u", "n", ["v"])
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each u's smallest neighbour or u itself, beside its edges (u, v); and the table of the former."""
+    least = materialise(edges.groupBy("u").agg(F.count("*").alias("n"), F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return salted_left_join(edges, least, "u", "n", ["v"]), least
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,11 +25,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        tied, least = _least(both)
+        large = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "large")
-        tied = _least(large)
+        release(e, least)
+        tied, least = _least(large)
         small = tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
         small = materialise(small, "small")
+        release(large, least)
         # A fixpoint: every node has one edge, and what it leads to has none.
         tips = small.groupBy("u").count().where("count > 1").limit(1)
         chain = small.alias("x").join(small.select(F.col("u").alias("w")).alias("y"), F.col("x.v") == F.col("y.w"), "left_semi").limit(1)

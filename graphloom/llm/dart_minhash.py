@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import Hashes, roll, words
-from graphloom.llm.shared import HOT_SHARE, SALTS, materialise, salted_left_join
+from graphloom.llm.shared import HOT_SHARE, SALTS, materialise, release, salted_left_join
 
 #: Chance to miss a pair of similarity s: (1 - s ** ROWS) ** BANDS; 5e-5 at 0.8.
 BANDS, ROWS = 25, 5
@@ -172,13 +172,16 @@ def _members(nodes: DataFrame) -> DataFrame:
     """Bucket and node of every band whose bucket holds several nodes."""
     every = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "node")
     sizes = materialise(every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
-    return materialise(salted_left_join(every, sizes.withColumn("size", F.col("n")), "bucket", "n", ["node"]).where("size is not null"), "members")
+    members = materialise(salted_left_join(every, sizes.withColumn("size", F.col("n")), "bucket", "n", ["node"]).where("size is not null"), "members")
+    release(sizes)
+    return members
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (centre, node) whose shingle sets have a Jaccard similarity of at least ``least``."""
     pairs = materialise(pairs, "pairs")
-    sizes = materialise(pairs.groupBy("centre").agg(F.count("*").alias("n")), "centres")
+    counts = materialise(pairs.groupBy("centre").agg(F.count("*").alias("n")), "centres")
+    sizes = counts
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bar = max(200, total // HOT_SHARE)
     # A centre of very many nodes is read by several tasks.
@@ -228,15 +231,18 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
                 ok.append(both >= least * (len(p) + len(q) - both) and both > 0)
             yield b.loc[ok, ["centre", "node"]]
 
-    return materialise(both.select("centre", "node", "data", "other").mapInPandas(compare, "centre bigint, node bigint").distinct(), "links", 500)
+    links = materialise(both.select("centre", "node", "data", "other").mapInPandas(compare, "centre bigint, node bigint").distinct(), "links", 500)
+    release(pairs, counts, uses, sets)
+    return links
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of the class, a row a document."""
-    return _classes(docs, least).select("doc_id", "class_id")
+    return _classes(docs, least)[0].select("doc_id", "class_id")
 
 
-def _classes(docs: DataFrame, least: float) -> DataFrame:
+def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and class_id of every row, and the two tables that this reads."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(docs.mapInPandas(_sketch, "doc_id bigint, digest binary, bands array<bigint>"), "sketches", 2000)
     nodes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -252,6 +258,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("size"))
         mixed = materialise(mixed.where((F.col("lo") != F.col("hi")) & (F.col("size") > done)).select("bucket", F.col("size").alias("n"), F.lit(True).alias("mixed")), "mixed")
         if mixed.isEmpty():
+            release(mixed)
             break
         rest = salted_left_join(placed.select("bucket", "node", "component"), mixed, "bucket", "n", ["node"]).where("mixed").drop("mixed")
         rest = materialise(rest, "rest")
@@ -259,13 +266,16 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= done + more)
         ranked = ranked.where(F.col("r") > done).select("bucket", F.col("node").alias("centre"), F.col("component").alias("other"))
         pairs = rest.join(ranked, "bucket").where("component != other").select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
-        found = materialise(found.unionByName(_links(docs, nodes, pairs, least)), "links")
+        more_links = _links(docs, nodes, pairs, least)
+        old, found = found, materialise(found.unionByName(more_links), "links")
+        release(old, more_links, mixed, rest, labels)
         done, more = done + more, more * 2
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.min("node").alias("chief"))
-    named = materialise(named.join(names, "component").select("digest", "n", "class_id", "component"), "named")
-    return salted_left_join(rows.select("doc_id", "digest"), named, "digest", "n", ["doc_id"])
+    names = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = materialise(named.join(names, "component").select("digest", "n", "class_id"), "named")
+    release(members, found, labels, nodes)
+    return salted_left_join(rows.select("doc_id", "digest"), named, "digest", "n", ["doc_id"]), rows, named
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -275,12 +285,15 @@ def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     of a null doc_id can't be told apart and stay; of rows that share the kept
     doc_id, the one of the smallest text stays.
     """
-    placed = materialise(_classes(docs, least), "placed")
+    placed, *under = _classes(docs, least)
+    placed = materialise(placed.select("doc_id", "class_id"), "placed")
+    release(*under)
     drop = materialise(placed.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gl_drop")).distinct(), "drop")
     gone = F.broadcast(drop) if drop.count() <= 1_000_000 else drop
     kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gl_drop"], "left_anti")
     twice = placed.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gl_drop"))
     twice = materialise(twice, "twice")
+    release(placed)
     if twice.isEmpty():
         return kept
     same = docs["doc_id"].cast("bigint") == twice["_gl_drop"]

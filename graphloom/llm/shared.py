@@ -92,7 +92,21 @@ def materialise(df: DataFrame, what: str, batch_rows: int | None = None) -> Data
     path = f"{scratch(spark, what)}/t"
     with batches_of(spark, batch_rows) if batch_rows else nullcontext():
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (out, path.removesuffix("/t"))
+    return out
+
+
+#: Tables written by materialise, by the identity of the frame that reads them.
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing will read any more."""
+    for t in tables:
+        found = _PLACES.pop(id(t), None)
+        if found:
+            remove(found[1])
 
 
 def salted_left_join(rows: DataFrame, table: DataFrame, key: str, count: str, spread: list[str]) -> DataFrame:
