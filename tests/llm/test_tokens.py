@@ -110,3 +110,21 @@ def test_paths_visit_all_and_follow_neighbours():
     assert sorted(order) == list(range(60))
     assert sum(a % 3 == b % 3 for a, b in zip(order, order[1:])) >= 50
     assert packing.paths(x[:1]) == [0] and packing.paths(x[:2]) == [0, 1]
+
+
+def test_packing_joins_near_copies_across_the_whole_corpus(spark):
+    rng = random.Random(4)
+    words = [a + b for a in "bcdfgklmnprst" for b in ("an", "el", "ir", "ost", "um", "ade", "ick", "ore")]
+    rows = []
+    for i in range(2500):
+        text = rng.choices(words, k=60)
+        near = text.copy()
+        for j in rng.sample(range(60), 3):
+            near[j] = rng.choice(words)
+        rows += [(i, " ".join(text)), (i + 10_000, " ".join(near))]
+    rng.shuffle(rows)
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = packing.pack(made, p("word_bpe_49k.json"), end_id=2, window=1 << 24).where("start = 0").orderBy("sequence_id", "offset").select("doc_id").collect()
+    order = [r.doc_id % 10_000 for r in got]
+    assert sorted(order) == sorted([*range(2500)] * 2)
+    assert sum(a == b for a, b in zip(order, order[1:])) >= 0.9 * 2500
