@@ -14,6 +14,9 @@ from graphloom.functions.scalars import secret_shape
 
 PLACEHOLDER = r"(?i)(your[-_ ]|example|changeme|placeholder|dummy|xxx+|<[^>]+>|\$\{?[A-Za-z_])"
 SECRET_NAME = r"(?i)\b\w*(secret|token|password|passwd|api_?key|private_?key|credential)\w*\s*[:=]"
+SECRET_WORD = r"(?i)(secret|token|password|passwd|api_?key|private_?key|credential)"
+#: The text since the last literal, and a literal with its quotes.
+LITERAL = r"""([^"']*)("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
 LOCAL_HOST = r"http://(localhost|127\.0\.0\.1|10\.0\.2\.2|0\.0\.0\.0|\[::1\])"
 NETWORK = r"(?i)(http|url|uri|client|dio|request|fetch|endpoint|socket|oauth|token)"
 
@@ -33,12 +36,15 @@ def _row(rows: DataFrame, category: str, confidence: Column | str, sink: Column
 def hardcoded_secrets(files: DataFrame) -> DataFrame:
     """Literals with a secret's shape, or of 12 characters or more under a secret's name.
 
-    One cascade, the first branch that holds decides: autofill hints and
+    Every literal of a line counts by itself; its name stands before it, after the
+    last literal, or is that literal as a key. One cascade, the first branch that holds decides: autofill hints and
     placeholders are no secrets, then shapes, then names.
     """
-    value = F.regexp_extract("text", r"""["']([^"']*)["']""", 1)
-    rows = lines_of(files).withColumn("v", value).where("v != ''")
-    named = F.col("text").rlike(SECRET_NAME) & (F.length("v") >= 12) & F.col("v").rlike("[0-9]") & ~F.col("v").rlike(r"\s")
+    before, quoted = (F.regexp_extract_all("text", F.lit(LITERAL), F.lit(i)) for i in (1, 2))
+    rows = lines_of(files).withColumns({"_b": before, "_q": quoted}).select("path", "line", "text", "_b", "_q", F.posexplode("_q").alias("_i", "v"))
+    rows = rows.withColumns({"v": F.expr("substring(v, 2, length(v) - 2)"), "_b": F.get("_b", F.col("_i")), "_key": F.coalesce(F.get("_q", F.col("_i") - 1), F.lit(""))}).where("v != ''")
+    under = F.col("_b").rlike(SECRET_NAME) | (F.col("_key").rlike(SECRET_WORD) & F.col("_b").rlike(r"^\s*\]?\s*[:=,]\s*$")) | ((F.col("_i") == 0) & F.col("text").rlike(SECRET_NAME))
+    named = under & (F.length("v") >= 12) & F.col("v").rlike("[0-9]") & ~F.col("v").rlike(r"\s")
     verdict = F.when(F.col("text").rlike("(?i)autofillhints|oauth2?/authorize"), None).when(F.col("v").rlike(PLACEHOLDER), None).when(F.col("v").rlike("^AIza[0-9A-Za-z_-]{20,}"), None).when(secret_shape(F.col("v")).isNotNull(), "high").when(named, "medium")
     return _row(rows.withColumn("c", verdict).where("c IS NOT NULL"), "hardcoded-secret", F.col("c"), F.coalesce(secret_shape(F.col("v")), F.lit("name")))
 

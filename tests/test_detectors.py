@@ -60,3 +60,10 @@ def test_mixed_route_style(spark):
     routes = lambda *c: spark.createDataFrame([(x,) for x in c], "route_class string")
     assert [r.line for r in d.mixed_route_style(routes("GoRoute", "TypedGoRoute"), calls).collect()] == [3]
     assert d.mixed_route_style(routes("GoRoute"), calls).count() == 0
+
+
+def test_every_literal_of_a_line_counts(spark):
+    key = "ghp_abcdefghijklmnopqrstuvwxyz"
+    lines = [f"prefs.setString('api_key', '{key}');", f"m = {{'token': \"{key}\"}};", f"headers['Authorization'] = '{key}';", f"f('', 'your-password', '{key}');", f"f(\"it's\", '{key}');", "m = {'token': 'a8f3k2m9x7q1z'};", "f(token: 'short', id: 'device-12345678');"]
+    files = spark.createDataFrame([("a", "\n".join(lines))], "path string, source string")
+    assert sorted((r.line, r.confidence) for r in d.hardcoded_secrets(files).collect()) == [(1, "high"), (2, "high"), (3, "high"), (4, "high"), (5, "high"), (6, "medium")]
