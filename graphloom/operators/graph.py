@@ -253,19 +253,19 @@ def climb(edges: DataFrame, nodes: DataFrame, key: str, child: str = "dst", pare
     return hop.select(F.col("node").alias(key), "owner")
 
 
-def flagged_closure(edges: DataFrame, flag: str, src: str = "src", dst: str = "dst", depth: int = 64) -> DataFrame:
-    """All (src, dst) pairs with a path between, and whether some path carries the flag
-    on every edge after ... or any: the flag can only be upgraded (bool_or over paths,
-    each path's flag being that of all its edges)."""
-    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(flag).alias("f")).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
-    seen = e
-    for _ in range(depth):
-        y = e.select(F.col("a").alias("m"), F.col("b").alias("to"), F.col("f").alias("g"))
-        step = seen.join(y, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), (F.col("f") & F.col("g")).alias("f"))
-        nxt = cut(seen.unionByName(step).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
-        done = nxt.count() == seen.count() and nxt.where("f").count() == seen.where("f").count()
-        seen = nxt
-        if done:
+def flagged_closure(edges: DataFrame, flag: str, src: str = "src", dst: str = "dst", any_hop: bool = False) -> DataFrame:
+    """All (src, dst) pairs with a path between, of any length, and whether some path
+    carries the flag: on every edge, or with ``any_hop`` on one edge at least. The
+    flag can only be upgraded. Each round doubles the hops, until nothing changes."""
+    seen = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(flag).alias("f")).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
+    size = seen.select(F.count("*"), F.count_if("f")).first()
+    while True:
+        y = seen.select(F.col("a").alias("m"), F.col("b").alias("to"), F.col("f").alias("g"))
+        both = F.col("f") | F.col("g") if any_hop else F.col("f") & F.col("g")
+        step = seen.join(y, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), both.alias("f"))
+        seen = cut(seen.unionByName(step).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
+        before, size = size, seen.select(F.count("*"), F.count_if("f")).first()
+        if size == before:
             break
     return seen.select(F.col("a").alias(src), F.col("b").alias(dst), F.col("f").alias(flag))
 

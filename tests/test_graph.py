@@ -87,3 +87,17 @@ def test_flag_is_upgraded_by_a_longer_path(spark):
     e = spark.createDataFrame([("a", "b", True), ("b", "c", True), ("a", "c", False)], "src string, dst string, duty boolean")
     got = {(r.src, r.dst): r.duty for r in g.flagged_closure(e, "duty").collect()}
     assert got == {("a", "b"): True, ("b", "c"): True, ("a", "c"): True}
+
+
+def test_flagged_closure_has_no_limit_of_hops(spark):
+    n = 100
+    e = spark.createDataFrame([(i, i + 1, True) for i in range(n)], "src int, dst int, duty boolean")
+    got = g.flagged_closure(e, "duty")
+    assert got.count() == n * (n + 1) // 2 and got.where("src = 0 AND dst = 100 AND duty").count() == 1
+
+
+def test_flag_of_any_hop(spark):
+    """A mixes M, M implements I, I extends J: the duty holds from the implements on."""
+    e = spark.createDataFrame([("A", "M", False), ("M", "I", True), ("I", "J", False)], "src string, dst string, duty boolean")
+    got = {r.src + r.dst: r.duty for r in g.flagged_closure(e, "duty", any_hop=True).collect()}
+    assert got == {"AM": False, "MI": True, "IJ": False, "AI": True, "MJ": True, "AJ": True}
