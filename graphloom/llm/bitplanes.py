@@ -8,9 +8,11 @@ zero are left out, and each other plane is compressed with zstandard.
     magic | planes of block 0 | planes of block 1 | ... | index (zstd JSON + arrays) | index length (8 bytes) | magic
 
 The index has, for each block, its number of ids and each plane's length, and
-for each document its id and number of ids. A shard is written under a
-temporary name and renamed. Its name and content follow from its rows, so a
-task that runs again replaces the same file.
+for each document its id and number of ids. A shard is closed at ``roll`` bytes, so
+a task holds no more than that and one block, or one document's planes, if those are
+larger. It is written under a temporary name and renamed. Its name and content
+follow from the rows and the number of ranges, so a task that runs again
+replaces the same file.
 
 Defined results: a null text counts as empty (the end id alone); null ids sort
 first; rows that repeat are kept, in order of id, then text; an empty table
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import get, materialise, put
+from graphloom.llm.shared import get, materialise, put, ranged
 from graphloom.llm.tokens import encoder
 
 MAGIC = b"GLPLANE1"
@@ -60,34 +62,50 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-def write_shard(docs: Iterator[tuple[int | None, np.ndarray]], kind: str = "byte", block: int = 65536, level: int = 3) -> tuple[bytes, int, int]:
-    """A shard's bytes, its number of documents and of ids. Holds one block beside the packed planes."""
+def write_shards(docs: Iterator[tuple[int | None, np.ndarray]], kind: str = "byte", block: int = 65536, level: int = 3, roll: int = 64 << 20) -> Iterator[tuple[bytes, int, int]]:
+    """Each shard's bytes, its number of documents and of ids."""
     z = zstandard.ZstdCompressor(level=level)
-    body, blocks, ids, counts = [MAGIC], [], [], []
+    body, blocks, ids, counts, packed_size = [MAGIC], [], [], [], 0
     held: list[np.ndarray] = []
     size = 0
 
     def flush(n: int) -> None:
-        nonlocal size
+        nonlocal size, packed_size
         whole = np.concatenate(held) if len(held) > 1 else held[0]
-        take, rest = whole[:n], whole[n:]
-        packed = [z.compress(p) if p else b"" for p in to_planes(take, kind)]
-        body.extend(packed)
-        blocks.append([len(take), *map(len, packed)])
-        held[:] = [rest] if len(rest) else []
+        for at in range(0, n, block):
+            take = whole[at : min(at + block, n)]
+            packed = [z.compress(p) if p else b"" for p in to_planes(take, kind)]
+            body.extend(packed)
+            blocks.append([len(take), *map(len, packed)])
+            packed_size += sum(blocks[-1][1:])
+        held[:] = [whole[n:]] if len(whole) > n else []
         size -= n
 
+    def close() -> tuple[bytes, int, int]:
+        nonlocal body, blocks, ids, counts, packed_size
+        if size:
+            flush(size)
+        index = z.compress(json.dumps({"kind": kind, "block": block, "blocks": blocks, "doc_ids": ids, "counts": counts}, separators=(",", ":")).encode())
+        out = b"".join([*body, index, len(index).to_bytes(8, "little"), MAGIC]), len(ids), sum(counts)
+        body, blocks, ids, counts, packed_size = [MAGIC], [], [], [], 0
+        return out
+
     for doc_id, x in docs:
         ids.append(doc_id)
         counts.append(len(x))
         held.append(x)
         size += len(x)
-        while size >= block:
-            flush(block)
-    if size:
-        flush(size)
-    index = z.compress(json.dumps({"kind": kind, "block": block, "blocks": blocks, "doc_ids": ids, "counts": counts}, separators=(",", ":")).encode())
-    return b"".join([*body, index, len(index).to_bytes(8, "little"), MAGIC]), len(ids), sum(counts)
+        if size >= block:
+            flush(size - size % block)
+        if packed_size + 2 * size + 16 * len(ids) >= roll:
+            yield close()
+    if ids:
+        yield close()
+
+
+def write_shard(docs: Iterator[tuple[int | None, np.ndarray]], kind: str = "byte", block: int = 65536, level: int = 3) -> tuple[bytes, int, int]:
+    """All documents as one shard."""
+    return next(write_shards(docs, kind, block, level, 1 << 62))
 
 
 def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -112,16 +130,16 @@ def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         have = whole[count:]
 
 
-def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 0, kind: str = "byte", block: int = 65536) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 0, kind: str = "byte", block: int = 65536, roll: int = 64 << 20) -> DataFrame:
     """Encode every text, write shards in ascending doc_id order under ``out``; returns the manifest.
 
-    Shards are ranges of doc_id, one a partition; the manifest has a row a shard.
+    Partitions are ranges of doc_id, each one shard or more; the manifest has a row a shard.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Ties are split by a hash, so rows that share an id can't fill one partition.
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    key = [F.col("doc_id").isNotNull().cast("int"), F.coalesce("doc_id", F.lit(0).cast("bigint")), F.col("tie")]
+    rows = ranged(rows, key, "there int, id bigint, tie bigint").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -132,11 +150,10 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 0,
                 for doc_id, null, text in zip(b["doc_id"], b["doc_id"].isna(), b["text"]):
                     yield None if null else int(doc_id), np.concatenate([enc.ids(text).astype("<u4"), end])
 
-        data, n_docs, n_ids = write_shard(each(), kind, block)
-        if n_docs:
-            path = f"{out}/part-{shard:06d}.planes"
+        for k, (data, n_docs, n_ids) in enumerate(write_shards(each(), kind, block, roll=roll)):
+            path = f"{out}/part-{shard:06d}-{k:05d}.planes"
             put(path, data)
-            yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [len(data)]})
+            yield pd.DataFrame({"shard": [(shard << 32) + k], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [len(data)]})
 
     return materialise(rows.mapInPandas(write, MANIFEST), "manifest")
 

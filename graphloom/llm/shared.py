@@ -8,6 +8,7 @@ names and renamed, so a task that runs again replaces its own work.
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext, suppress
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most this many keys can each hold 1/HOT_SHARE of all rows or more.
@@ -31,6 +32,8 @@ def shared_root(spark: SparkSession) -> str:
         have = sc._jsc.sc().getCheckpointDir()
         uri = have.get() if have.isDefined() else None
     if not uri:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         uri = tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(uri)
     if "://" not in uri and not uri.startswith("file:"):
@@ -126,3 +129,29 @@ def salted_left_join(rows: DataFrame, table: DataFrame, key: str, count: str, sp
     salts = F.when(F.col(count) >= bar, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     right = table.withColumn("_gl_salt", F.explode(salts)).drop(count)
     return left.join(right, [key, "_gl_salt"], "left").drop("_gl_salt")
+
+
+def ranged(rows: DataFrame, order: list[Column], order_type: str, parts: int | None = None) -> DataFrame:
+    """Rows spread over ranges of ``order``, partition k holding the k-th range; the same rows in each on every run.
+
+    ``order`` are columns of the types in ``order_type`` ("a int, b bigint"), none null. Bounds
+    are quantiles of the keys whose hash is small, about 100 a range, so they depend on the rows and
+    on the number of ranges alone (by default the session's number of shuffle partitions). Rows of
+    equal keys are in one range.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [x.split()[0] for x in order_type.split(",")]
+    key = F.struct(*[c.alias(n) for c, n in zip(order, names)])
+    most = min(1.0, 100 * parts / max(1, rows.count()))
+    some = rows.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(most * (1 << 30)))
+    found = sorted((tuple(r["k"]), r["count"]) for r in some.groupBy("k").count().collect())
+    total, upto, bounds = sum(n for _, n in found), 0, []
+    for k, n in found:
+        if upto * parts >= (len(bounds) + 1) * total:
+            bounds.append(k)
+        upto += n
+    known = F.from_json(F.lit(json.dumps([dict(zip(names, b)) for b in bounds])), f"array<struct<{order_type.replace(' ', ':').replace(',:', ',')}>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(known, at + s - 1) <= key), at + s).otherwise(at))
+    return rows.repartitionById(parts, place if bounds else F.lit(0))

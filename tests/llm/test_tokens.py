@@ -71,6 +71,24 @@ def test_bitplane_files(spark, docs, no_docs, texts):
     assert bitplanes.digest_ids(none).count() == 0
 
 
+def test_bitplane_shards_roll_and_are_the_same_again(spark):
+    enc = Encoder(p("byte_bpe_50k.json"))
+    rows = [(i, f"text {i * 37 % 1000} of {i}") for i in range(120_000)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    seen = []
+    for df in (made, made.repartition(5)):
+        manifest = bitplanes.write_ids(df, p("byte_bpe_50k.json"), scratch(spark, "t"), block=4096, roll=40_000)
+        files = sorted((r.shard, r.n_docs, zlib.crc32(bitplanes.get(r.path))) for r in manifest.collect())
+        seen.append(files)
+        got = bitplanes.digest_ids(manifest).orderBy("start").collect()
+        assert [r.doc_id for r in got] == list(range(120_000))
+        assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    assert seen[0] == seen[1] and len(seen[0]) > 12
+    for i in (0, 77_777, 119_999):
+        ids = np.append(enc.ids(rows[i][1]).astype("<u4"), 0).astype("<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_holds_each_id_once(spark, docs, no_docs, texts):
     enc = Encoder(p("word_bpe_49k.json"))
     got = packing.pack(docs, p("word_bpe_49k.json"), end_id=2, window=64).toPandas()
