@@ -14,7 +14,8 @@ DataFrame functions are used.
 Defined results: a null role is the speaker ``unknown``, a null text is empty, a
 null conv_id is one conversation, a null turn comes first; turns with the same
 number are in order of role, then text; rows that repeat are turns each; control
-marks inside a text lose their bar, so no text can open or close a turn; a
+marks inside a text or a role lose their bar and line breaks in a role are spaces in
+the segment, so neither can open or close a turn; very long texts are a cell each; a
 conversation of system turns alone has no participant and no rows; an empty
 table gives an empty table; other columns are ignored.
 """
@@ -36,8 +37,9 @@ def rotate(conversations: DataFrame) -> DataFrame:
     system), name (of a user), segment, start and stop (characters of the
     rendering), loss_start and loss_stop (the masked-in span, null if none).
     """
-    role = F.when(F.col("role").isNull(), "unknown").otherwise(F.col("role"))
-    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("<im_start>")), F.lit(CLOSE), F.lit("<im_end>"))
+    plain = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<im_start>")), F.lit(CLOSE), F.lit("<im_end>"))
+    role = F.coalesce("role", F.lit("unknown"))
+    text = plain(F.coalesce("text", F.lit("")))
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     # The part of each turn is written down, so that it stays what it was.
@@ -51,7 +53,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     own = F.col("role") == F.col("perspective")
     speaker = F.when(F.col("role") == "system", "system").when(own, "assistant").otherwise("user")
     rows = rows.withColumn("speaker", speaker).withColumn("name", F.when(F.col("speaker") == "user", F.col("role")))
-    head = F.concat(F.lit(OPEN), "speaker", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), "speaker", F.coalesce(F.concat(F.lit(" name="), plain(F.translate("name", "\r\n", "  "))), F.lit("")), F.lit("\n"))
     rows = rows.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "text", F.lit(CLOSE + "\n")))
     rows = rows.withColumn("size", F.length("segment").cast("bigint"))
 
@@ -82,7 +84,7 @@ r AS (
   SELECT t.conv_id, s.perspective, t.turn, t.role, t.text,
          CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = s.perspective THEN 'assistant' ELSE 'user' END AS speaker
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-h AS (SELECT *, '<|im_start|>' || speaker || CASE WHEN speaker = 'user' THEN ' name=' || role ELSE '' END || chr(10) AS head FROM r),
+h AS (SELECT *, '<|im_start|>' || speaker || CASE WHEN speaker = 'user' THEN ' name=' || replace(replace(translate(role, chr(13) || chr(10), '  '), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') ELSE '' END || chr(10) AS head FROM r),
 g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
 w AS (
   SELECT *, row_number() OVER o - 1 AS position, CAST(sum(length(segment)) OVER o AS BIGINT) AS stop
