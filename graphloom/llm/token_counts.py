@@ -51,18 +51,17 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc, done = encoder(tokenizer), set()
-            size = enc.dtype.itemsize
             for b in batches:
-                out = {"digest": [], "n_tokens": []}
+                digests, texts = [], []
                 for digest, text in zip(b["digest"].to_pylist(), b["text"]):
                     if digest not in done:  # repeated rows
                         done.add(digest)
-                        out["digest"].append(digest)
-                        out["n_tokens"].append(len(enc.encode(text.as_py())) // size)
-                yield pa.record_batch([pa.array(out["digest"], pa.binary()), pa.array(out["n_tokens"], pa.int64())], ["digest", "n_tokens"])
+                        digests.append(digest)
+                        texts.append(text.as_py())
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(map(len, enc.many(texts)), pa.int64())], ["digest", "n_tokens"])
 
         found = todo.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens bigint")
-        found.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+        found.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = keys.select("digest", "n").join(read_cache(spark, cache, version), "digest")
     every = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     counts = materialise(counts, "counts")
