@@ -13,7 +13,8 @@ texts and every document is scored.
 
 Defined results: a null text counts as empty and gets the score of the empty
 text; rows that repeat each get their row; labels of null doc_id or quality are
-left out, and a doc_id with both labels counts as both; without labelled rows
+left out, and a doc_id with both labels counts as both; of documents that share an
+id, one is learnt from, that of the smallest hash of the text; without labelled rows
 of both classes every score is the share of class 1 among them (0.5 if none);
 an empty table gives an empty table; ``score`` ignores other columns, ``keep``
 returns them.
@@ -153,9 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, rows: int = FIT_
             x = [statistics(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": x})
 
-    # Documents that repeat would add rows; the bound holds by the second limit.
-    got = texts.mapInPandas(measure, "doc_id bigint, label int, x array<double>").limit(2 * rows).toPandas()
-    got = got.sort_values(["doc_id", "label"], kind="stable")
+    # Documents that repeat would add rows: of each id and label, that of the smallest hash of the text.
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    got = texts.mapInPandas(measure, "doc_id bigint, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
     x = np.array(got["x"].tolist(), float).reshape(-1, N_STATISTICS)
     return fit(x, got["label"].to_numpy(float))
 
