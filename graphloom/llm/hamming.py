@@ -81,6 +81,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             continue  # radius 0 is probed along with radius 1
         flips = F.array(*map(F.lit, masks)) if len(masks) <= 256 else F.from_json(F.lit(str(masks)), "array<bigint>")
         probes = active.select("q", F.col("code").alias("asked"), "need", "bound", F.posexplode("code").alias("seg", "own")).where(F.col("seg") < F.col("need"))
+        # One small file holds what is left: its probes are formed by many tasks.
+        probes = probes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q", "seg")
         probes = probes.withColumn("flip", F.explode(flips)).select("q", "asked", "bound", "seg", F.col("own").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
         probes = probes.join(hot, ["seg", "value"], "left")
         every = F.sequence(F.lit(0), F.lit(_SALTS - 1))
