@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are sorted by page_id over ranges, so shard k holds the k-th range and
-the archives are the same whatever ran first. Of records whose payloads are
+the archives are the same whatever ran first, given the number of ranges (the
+session's shuffle partitions). Of records whose payloads are
 equal, the one of the smallest page_id is a ``response``; the others are
 ``revisit`` records that carry headers only. Each record is its own gzip
 member; a file is closed once its compressed size reaches ``roll_bytes``. Dates
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import get, materialise, put, salted_left_join
+from graphloom.llm.shared import get, materialise, put, ranged, salted_left_join
 
 MANIFEST = "shard bigint, path string, n_records bigint, n_bytes bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -116,8 +117,10 @@ def write_warc(pages: DataFrame, out: str, min_revisit_bytes: int = 0, roll_byte
     # A copy's payload isn't moved, unless a twin row shares the smallest page_id.
     copy = F.coalesce("found", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "copy": copy}).withColumn("payload", F.when(~F.col("copy"), F.col("payload")))
-    order = [F.col("page_id").asc_nulls_first(), F.col("same"), F.coalesce("url", F.lit(""))]
-    rows = rows.select("page_id", "url", "payload", "size", "digest", "copy", "found", "first", "same").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    order = [F.col("page_id").asc_nulls_first(), F.xxhash64("same"), F.col("same"), F.coalesce("url", F.lit(""))]
+    key = [F.col("page_id").isNotNull().cast("int"), F.coalesce("page_id", F.lit(0).cast("bigint")), F.xxhash64("same")]
+    rows = rows.select("page_id", "url", "payload", "size", "digest", "copy", "found", "first", "same")
+    rows = ranged(rows, key, "there int, id bigint, tie bigint").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, size, count, before, done = TaskContext.get().partitionId(), [], 0, 0, None, []
