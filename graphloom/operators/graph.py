@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphloom.session import cut
 
@@ -41,16 +43,19 @@ def _in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., Itera
         part = t.select(F.lit(k).alias("t"), *cols)
         tagged = part if tagged is None else tagged.unionByName(part)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow, sizes = to_arrow_schema(StructType.fromDDL(schema)), [len(t.columns) for t in tables]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list[tuple]] = [[] for _ in range(n)]
         for b in batches:
-            for r in b.itertuples(index=False):
-                rows[int(r[0])].append(tuple(r[1:]))
+            # Arrow's own values: a column with padding would be made one of floats otherwise.
+            for k, *r in zip(*(c.to_pylist() for c in b.columns)):
+                rows[k].append(tuple(r[: sizes[k]]))
         out = list(walk(*rows))
         if out:
-            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in schema.split(", ")])
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return tagged.coalesce(1).mapInPandas(run, schema)
+    return tagged.coalesce(1).mapInArrow(run, schema)
 
 
 def _type(edges: DataFrame) -> str:
@@ -241,16 +246,23 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
 
 
 def climb(edges: DataFrame, nodes: DataFrame, key: str, child: str = "dst", parent: str = "src") -> DataFrame:
-    """Each node's root by way of its smallest parent, by pointer doubling; a cycle ends at its smallest node seen."""
-    up = edges.groupBy(F.col(child).alias("c")).agg(F.min(parent).alias("p"))
-    hop = cut(nodes.select(F.col(key).alias("node")).distinct().join(up, F.col("node") == F.col("c"), "left").select("node", F.coalesce("p", "node").alias("owner")))
-    for _ in range(40):  # a chain of 2 ** 40 nodes
+    """Each node's root by way of its smallest parent, by pointer doubling. A way that
+    comes to a cycle goes round it and ends at the last node before the first that repeats."""
+    up = cut(edges.groupBy(F.col(child).alias("c")).agg(F.min(parent).alias("p")).where("p != c"))
+    ring = cut(cycles(up, "c", "p", self_loops=False).select("node"))
+    # On a cycle, the node before the one where it is entered; nodes of cycles count as roots till then.
+    last = up.join(ring, F.col("c") == F.col("node"), "left_semi").join(ring, F.col("p") == F.col("node"), "left_semi").select(F.col("p").alias("entry"), F.col("c").alias("last"))
+    free = up.join(ring, F.col("c") == F.col("node"), "left_anti")
+    every = nodes.select(F.col(key).alias("node")).union(free.select("c")).distinct()
+    hop = cut(every.join(free, F.col("node") == F.col("c"), "left").select("node", F.coalesce("p", "node").alias("owner")))
+    while True:
         y = hop.select(F.col("node").alias("n2"), F.col("owner").alias("o2"))
         nxt = cut(hop.join(y, F.col("owner") == F.col("n2"), "left").select("node", F.coalesce("o2", "owner").alias("owner"), (F.coalesce("o2", "owner") != F.col("owner")).alias("moved")))
         hop = nxt.select("node", "owner")
         if nxt.where("moved").isEmpty():
             break
-    return hop.select(F.col("node").alias(key), "owner")
+    hop = hop.join(last, F.col("owner") == F.col("entry"), "left").select("node", F.coalesce("last", "owner").alias("owner"))
+    return hop.join(nodes.select(F.col(key).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(key), "owner")
 
 
 def flagged_closure(edges: DataFrame, flag: str, src: str = "src", dst: str = "dst", any_hop: bool = False) -> DataFrame:
