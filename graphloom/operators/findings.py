@@ -74,7 +74,7 @@ def suppress(findings: DataFrame, directives: DataFrame, require_reasons: bool =
     used = findings.alias("f").join(d.alias("d"), met).select(F.col("d.path").alias("path"), F.col("d.line").alias("line")).distinct()
     stale = directives.join(used, ["path", "line"], "left_anti")
     # The nearest line where the rule still fires, the lower one on ties.
-    near = stale.alias("d").join(findings.alias("f"), (F.col("f.path") == F.col("d.path")) & ((F.size("d.rules") == 0) | F.arrays_overlap(F.col("d.rules"), names)), "left")
+    near = stale.alias("d").join(findings.alias("f"), (F.col("f.path") == F.col("d.path")) & covers, "left")
     near = near.groupBy("d.path", "d.line").agg(F.min_by("f.line", F.struct(F.abs(F.col("f.line") - F.col("d.line")), "f.line")).alias("nearest"))
     rows = near.select(F.lit("stale-suppression").alias("rule_id"), F.lit("stale-suppression").alias("kind"), "path", "line", F.concat(F.lit("unused; nearest "), F.coalesce(F.col("nearest").cast("string"), F.lit("none"))).alias("message"))
     out = union_all([kept, rows.withColumn("severity", F.lit("error"))])

@@ -159,15 +159,15 @@ def policy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.pattern_hits(table(spark, sf_dir, "part").select("p_partkey", "p_type"), banned, "p_type", "pattern")
 
 
-@query("edit_distance_top3", """WITH d AS (SELECT a.n_name AS name, b.n_name AS other, levenshtein(lower(a.n_name), lower(b.n_name)) AS d FROM nation a JOIN nation b ON a.n_name <> b.n_name),
-k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, other) AS r FROM d WHERE d <= greatest(5, length(name) // 3) OR contains(lower(other), lower(name)))
+@query("edit_distance_top3", """WITH d AS (SELECT a.n_name AS name, b.n_name AS other, CASE WHEN contains(lower(b.n_name), lower(a.n_name)) THEN 0 ELSE levenshtein(lower(a.n_name), lower(b.n_name)) END AS d FROM nation a JOIN nation b ON a.n_name <> b.n_name),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d, other) AS r FROM d WHERE d <= greatest(2, length(name) // 3))
 SELECT name, other, CAST(d AS BIGINT) AS distance, r AS rank FROM k WHERE r <= 3""")
 def edit_distance_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three similar names: near by edits, or containing the name."""
+    """Up to three similar names, nearest first: at most two edits or a third of the name away; one that contains it is at 0."""
     from pyspark.sql import Window
 
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
     a, b = F.lower("name"), F.lower("other")
-    met = n.join(j.rules(n.withColumnRenamed("name", "other")), F.col("name") != F.col("other")).withColumn("distance", F.levenshtein(a, b).cast("bigint"))
-    met = met.where((F.col("distance") <= F.greatest(F.lit(5), s.div(F.length("name"), 3))) | F.contains(b, a))
+    met = n.join(j.rules(n.withColumnRenamed("name", "other")), F.col("name") != F.col("other")).withColumn("distance", F.when(F.contains(b, a), 0).otherwise(F.levenshtein(a, b)).cast("bigint"))
+    met = met.where(F.col("distance") <= F.greatest(F.lit(2), s.div(F.length("name"), 3)))
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("distance", "other")).cast("bigint")).where("rank <= 3")

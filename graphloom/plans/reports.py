@@ -49,7 +49,7 @@ _SCOPE = "scope AS (SELECT 'lib/u' || id || '.dart' AS path FROM range(50) r(id)
 @query("suppressions", f"""WITH {FIND}, {DIR},
 m AS (SELECT c.*, EXISTS (SELECT 1 FROM dirs d WHERE d.path = c.path AND c.line = d.line + 1 AND (list_contains(d.rules, 'all') OR list_has_any(d.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)]))) AS gone FROM cur c),
 s AS (SELECT d.path, d.line, d.rules FROM dirs d WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE d.path = c.path AND c.line = d.line + 1 AND (list_contains(d.rules, 'all') OR list_has_any(d.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)])))),
-n AS (SELECT s.path, s.line, arg_min(c.line, (abs(c.line - s.line), c.line)) AS nearest FROM s LEFT JOIN cur c ON c.path = s.path AND list_has_any(s.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)]) GROUP BY 1, 2)
+n AS (SELECT s.path, s.line, arg_min(c.line, (abs(c.line - s.line), c.line)) AS nearest FROM s LEFT JOIN cur c ON c.path = s.path AND (list_contains(s.rules, 'all') OR list_has_any(s.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)])) GROUP BY 1, 2)
 SELECT rule_id, kind, path, line, message, severity FROM m WHERE NOT gone
 UNION ALL SELECT 'stale-suppression', 'stale-suppression', path, line, 'unused; nearest ' || coalesce(CAST(nearest AS VARCHAR), 'none'), 'error' FROM n
 UNION ALL SELECT 'missing-suppression-reason', 'missing-suppression-reason', path, line, 'no reason', 'error' FROM dirs WHERE reason IS NULL""")
@@ -111,14 +111,14 @@ def regression_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ATTR = f"""{FIND}, {_SCOPE},
-a AS (SELECT *, CASE WHEN identity NOT IN (SELECT identity FROM base) AND (path IN (SELECT path FROM scope) OR files[1] IN (SELECT path FROM scope)) THEN 'introduced' ELSE 'pre_existing' END AS bucket FROM cur WHERE line < 3),
+a AS (SELECT *, CASE WHEN identity NOT IN (SELECT identity FROM base) AND (path IN (SELECT path FROM scope) OR files[1] IN (SELECT path FROM scope)) THEN 'introduced' ELSE 'pre_existing' END AS bucket FROM cur),
 g AS (SELECT bucket, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (safe_to_delete) AS safe_to_delete FROM a GROUP BY bucket),
 x AS (SELECT bucket, path FROM a UNION SELECT bucket, files[1] FROM a)"""
 
 
 @query("audit_attribution", f"WITH {_ATTR} SELECT g.*, (SELECT count(*) FROM x WHERE x.bucket = g.bucket) AS files FROM g")
 def audit_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.attribution(findings_of(spark, sf_dir).where("line < 3"), scope_of(spark, sf_dir), f.baseline(findings_of(spark, sf_dir, True)))
+    return f.attribution(findings_of(spark, sf_dir), scope_of(spark, sf_dir), f.baseline(findings_of(spark, sf_dir, True)))
 
 
 @query("risk_score", f"""WITH {_ATTR} SELECT CAST(least(100, sum(CASE bucket WHEN 'introduced' THEN errors * 30 + warnings * 15 + safe_to_delete * 10 ELSE errors * 10 + warnings * 4 + safe_to_delete * 2 END)) AS BIGINT) AS risk_score,
@@ -158,7 +158,7 @@ m AS (SELECT c.*, EXISTS (SELECT 1 FROM dirs d WHERE d.path = c.path AND c.line
 SELECT rule_id, kind, path, line, message, CASE WHEN rule_id = 'scan/view' THEN 'error' WHEN kind = 'high-complexity' THEN 'warning' WHEN kind = 'error' THEN 'warning' ELSE severity END AS severity FROM m
 WHERE NOT gone AND (path IN (SELECT path FROM scope) OR files[1] IN (SELECT path FROM scope)) AND kind <> 'signup' AND identity NOT IN (SELECT identity FROM base)
 UNION ALL SELECT * FROM (WITH s AS (SELECT d.path, d.line, d.rules FROM dirs d WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE d.path = c.path AND c.line = d.line + 1 AND (list_contains(d.rules, 'all') OR list_has_any(d.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)])))),
-n AS (SELECT s.path, s.line, arg_min(c.line, (abs(c.line - s.line), c.line)) AS nearest FROM s LEFT JOIN cur c ON c.path = s.path AND list_has_any(s.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)]) GROUP BY 1, 2)
+n AS (SELECT s.path, s.line, arg_min(c.line, (abs(c.line - s.line), c.line)) AS nearest FROM s LEFT JOIN cur c ON c.path = s.path AND (list_contains(s.rules, 'all') OR list_has_any(s.rules, [c.rule_id, c.kind, split_part(c.rule_id, '/', 2)])) GROUP BY 1, 2)
 SELECT 'stale-suppression', 'stale-suppression', path, line, 'unused; nearest ' || coalesce(CAST(nearest AS VARCHAR), 'none'), 'error' FROM n WHERE path IN (SELECT path FROM scope))""")
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline in its order."""

@@ -10,18 +10,18 @@ from graphloom.operators import symbols as y
 from graphloom.plans.registry import query
 from graphloom.session import table
 
-_REF = """r AS (SELECT l_partkey AS name, l_returnflag AS qualifier, l_suppkey % 10 AS library, 'o' || (l_orderkey % 300) AS path FROM lineitem WHERE l_quantity > 45),
-x AS (SELECT DISTINCT 'o' || (o_orderkey % 300) AS path FROM orders WHERE o_orderkey % 300 < 120)"""
+_REF = """r AS (SELECT l_partkey AS name, l_returnflag AS qualifier, l_suppkey % 10 AS library, 'o' || (l_orderkey % 300) AS path FROM lineitem),
+x AS (SELECT DISTINCT 'o' || (o_orderkey % 300) AS path FROM orders WHERE o_orderkey % 300 < 12)"""
 
 
 def references_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_partkey").alias("name"), F.col("l_returnflag").alias("qualifier"), (F.col("l_suppkey") % 10).alias("library"), F.concat(F.lit("o"), (F.col("l_orderkey") % 300).cast("string")).alias("path"))
 
 
 def reachable_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey") % 300
-    return table(spark, sf_dir, "orders").where(o < 120).select(F.concat(F.lit("o"), o.cast("string")).alias("path")).distinct()
+    return table(spark, sf_dir, "orders").where(o < 12).select(F.concat(F.lit("o"), o.cast("string")).alias("path")).distinct()
 
 
 def _counts(keys: str) -> str:

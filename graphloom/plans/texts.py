@@ -107,7 +107,7 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(n(0).alias("imports"), n(1).alias("exports"), n(2).alias("parts"), n(3).alias("declarations"))
 
 
-@query("dependency_usage", """WITH u AS (SELECT l_suppkey AS dep, o_custkey % 20 AS package, bool_or(l_returnflag = 'R') AS production, bool_or(l_returnflag <> 'R') AS development FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 40 GROUP BY 1, 2),
+@query("dependency_usage", """WITH u AS (SELECT l_suppkey AS dep, o_custkey % 20 AS package, bool_or(l_returnflag = 'R') AS production, bool_or(l_returnflag <> 'R') AS development FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
 d AS (SELECT s_suppkey AS dep, s_suppkey % 20 AS package, CASE WHEN s_suppkey % 2 = 0 THEN 'dependencies' ELSE 'dev_dependencies' END AS section FROM supplier)
 SELECT d.dep, d.package, section, CASE WHEN u.dep IS NULL AND section = 'dependencies' THEN 'unused-dependency' WHEN u.dep IS NULL THEN 'unused-dev-dependency' WHEN section = 'dev_dependencies' AND production THEN 'dev-dependency-in-production' WHEN section = 'dependencies' AND NOT production THEN 'test-only-dependency' ELSE 'ok' END AS issue
 FROM d LEFT JOIN u ON u.dep = d.dep AND u.package = d.package""")
@@ -115,7 +115,7 @@ def dependency_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared dependencies against their use in production and development."""
     from graphloom.operators.dependencies import issue, usage
 
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
     rows = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     used = usage(rows.select(F.col("l_suppkey").alias("dep"), (F.col("o_custkey") % 20).alias("package"), (F.col("l_returnflag") == "R").alias("in_production")))
     k = F.col("s_suppkey")
@@ -123,13 +123,13 @@ def dependency_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issue(declared, used).select("dep", "package", "section", "issue")
 
 
-@query("unlisted_dependencies", """WITH u AS (SELECT l_suppkey AS dep, o_custkey % 20 AS package, o_orderkey AS path, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 45)
+@query("unlisted_dependencies", """WITH u AS (SELECT l_suppkey AS dep, o_custkey % 20 AS package, o_orderkey AS path, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT dep, package, min({'p': path, 'l': line}).p AS path FROM u WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = dep AND s_suppkey % 20 = package) GROUP BY 1, 2""")
 def unlisted_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first import of each package that isn't declared."""
     from graphloom.operators.dependencies import unlisted
 
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_suppkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     rows = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     imports = rows.select(F.col("l_suppkey").alias("dep"), (F.col("o_custkey") % 20).alias("package"), F.col("o_orderkey").alias("path"), F.col("l_linenumber").alias("line"))
     declared = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("dep"), (F.col("s_suppkey") % 20).alias("package"))
