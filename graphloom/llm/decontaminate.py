@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import materialise
+from graphloom.llm.shared import lean, materialise
 
 _FOLD = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +78,8 @@ class Windows:
 
     @staticmethod
     def _bits(v: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 22, bool)
-        bits[(v >> np.uint64(42)).astype(np.int64)] = True
+        bits = np.zeros(1 << min(22, max(12, (256 * len(v)).bit_length())), bool)
+        bits[(v & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         return bits
 
     def scan(self, w: list[bytes], h: np.ndarray) -> tuple[np.ndarray, set[str]]:
@@ -89,7 +89,8 @@ class Windows:
             x = roll(h, n)
             if not len(x):
                 continue
-            at = np.flatnonzero(self.bits[n][(x >> np.uint64(42)).astype(np.int64)])
+            bits = self.bits[n]
+            at = np.flatnonzero(bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)])
             for i in at[np.isin(x[at], known)].tolist() if len(at) else ():
                 found = self.of.get(tuple(w[i : i + n]))
                 if found:
@@ -140,7 +141,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_broadcast
                 out.append((len(w), int(hit.sum()), sorted(items)))
             yield pd.concat([b[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=["n_words", "n_hit", "items"])], axis=1)
 
-    return docs.mapInPandas(scan, REPORT)
+    return docs.mapInPandas(lean(scan), REPORT)
 
 
 def _spans(rows: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
@@ -235,7 +236,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, max_broadcast:
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def without(text: str, hit: np.ndarray) -> str:

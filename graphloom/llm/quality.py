@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import lean
+
 FIT_ROWS = 20_000
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:'\"-()?", b"!", b"#$%&*+/<=>@[\\]^_`{|}~", b" \t", b"\n"]
@@ -156,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, rows: int = FIT_
 
     # Documents that repeat would add rows: of each id and label, that of the smallest hash of the text.
     texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
-    got = texts.mapInPandas(measure, "doc_id bigint, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
+    got = texts.mapInPandas(lean(measure), "doc_id bigint, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
     x = np.array(got["x"].tolist(), float).reshape(-1, N_STATISTICS)
     return fit(x, got["label"].to_numpy(float))
 
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array([statistics(t) for t in b["text"]]).reshape(-1, N_STATISTICS)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(x)})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(apply, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(lean(apply), "doc_id bigint, score double")
 
 
 def keep(docs: DataFrame, model: Discriminant, least: float = 0.7) -> DataFrame:
@@ -183,4 +185,4 @@ def keep(docs: DataFrame, model: Discriminant, least: float = 0.7) -> DataFrame:
             x = np.array([statistics(t.as_py()) for t in b.column(at)]).reshape(-1, N_STATISTICS)
             yield b.filter(pa.array(model.score(x) >= least, pa.bool_()))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)

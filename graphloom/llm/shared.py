@@ -8,13 +8,16 @@ names and renamed, so a task that runs again replaces its own work.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +80,21 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives back to the system what it has freed: workers stay for the next stages."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """At most so many rows in an Arrow batch of the jobs run meanwhile; wide rows would fill a worker's memory otherwise."""
