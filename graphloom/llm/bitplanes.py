@@ -147,8 +147,8 @@ def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 0,
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
             for b in batches:
-                for doc_id, null, text in zip(b["doc_id"], b["doc_id"].isna(), b["text"]):
-                    yield None if null else int(doc_id), np.concatenate([enc.ids(text).astype("<u4"), end])
+                for doc_id, null, ids in zip(b["doc_id"], b["doc_id"].isna(), enc.many(b["text"])):
+                    yield None if null else int(doc_id), np.concatenate([ids.astype("<u4"), end])
 
         for k, (data, n_docs, n_ids) in enumerate(write_shards(each(), kind, block, roll=roll)):
             path = f"{out}/part-{shard:06d}-{k:05d}.planes"
