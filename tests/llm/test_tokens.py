@@ -23,6 +23,10 @@ def test_cached_words_give_the_library_s_ids(name, texts):
     for t in [*made, *(t for _, t in texts if t)]:
         assert enc.ids(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
     assert enc.encode(None) == b""
+    every = [None, "", *made, *(t for _, t in texts)]
+    for chars in (1, 300, 10**9):
+        assert [x.tolist() for x in enc.many(every, chars)] == [enc.ids(t).tolist() for t in every]
+    assert list(enc.many([])) == []
 
 
 def test_counts_and_cache(spark, docs, no_docs, texts):
@@ -73,18 +77,18 @@ def test_bitplane_files(spark, docs, no_docs, texts):
 
 def test_bitplane_shards_roll_and_are_the_same_again(spark):
     enc = Encoder(p("byte_bpe_50k.json"))
-    rows = [(i, f"text {i * 37 % 1000} of {i}") for i in range(120_000)]
+    rows = [(i, f"text {i * 37 % 1000} of {i}") for i in range(40_000)]
     made = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     seen = []
     for df in (made, made.repartition(5)):
-        manifest = bitplanes.write_ids(df, p("byte_bpe_50k.json"), scratch(spark, "t"), block=4096, roll=40_000)
+        manifest = bitplanes.write_ids(df, p("byte_bpe_50k.json"), scratch(spark, "t"), block=4096, roll=15_000)
         files = sorted((r.shard, r.n_docs, zlib.crc32(bitplanes.get(r.path))) for r in manifest.collect())
         seen.append(files)
         got = bitplanes.digest_ids(manifest).orderBy("start").collect()
-        assert [r.doc_id for r in got] == list(range(120_000))
+        assert [r.doc_id for r in got] == list(range(40_000))
         assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
     assert seen[0] == seen[1] and len(seen[0]) > 12
-    for i in (0, 77_777, 119_999):
+    for i in (0, 7_777, 39_999):
         ids = np.append(enc.ids(rows[i][1]).astype("<u4"), 0).astype("<u4")
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
@@ -120,14 +124,47 @@ def test_packing_holds_each_id_once(spark, docs, no_docs, texts):
     assert packing.pack(no_docs, p("word_bpe_49k.json")).count() == 0
 
 
+def exact_neighbours(y):
+    sim = y @ y.T
+    np.fill_diagonal(sim, -2)
+    return np.argsort(-sim, axis=1, kind="stable")[:, : packing.NEIGHBOURS], sim
+
+
 def test_paths_visit_all_and_follow_neighbours():
     rng = np.random.default_rng(2)
     topics = rng.random((3, packing.FEATURES)) ** 8 * 20
     x = np.array([np.log1p(rng.poisson(topics[i % 3])) for i in range(60)], np.float32)
-    order = packing.paths(x)
+    near, sim = exact_neighbours(packing.unit(x - x.mean(0)))
+    a = np.repeat(np.arange(60), near.shape[1])
+    order = packing.walk(*packing.linked(np.arange(60) + 5, a + 5, near.ravel() + 5, np.rint(sim[a, near.ravel()] * 10_000))).tolist()
     assert sorted(order) == list(range(60))
     assert sum(a % 3 == b % 3 for a, b in zip(order, order[1:])) >= 50
-    assert packing.paths(x[:1]) == [0] and packing.paths(x[:2]) == [0, 1]
+    assert packing.walk(*packing.linked(np.arange(1), *[np.empty(0, int)] * 3)).tolist() == [0]
+
+
+def recall(held, tokenizer):
+    """Share of each document's nearest by brute force that the graph has."""
+    counts = {r["part"]: r["count"] for r in held.groupBy("part").count().orderBy("part").collect()}
+    starts = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist()))
+    space = packing.space_of(held, tokenizer, starts, sum(counts.values()))
+    rows = sorted(held.collect(), key=lambda r: (r.part, r.at))
+    y = space.of(np.stack([packing.counts_of(np.frombuffer(r.packed, "<u2").astype(int)) for r in rows]))
+    mask = (1 << packing.INDEX_BITS) - 1
+    got = {r.node & mask: {~x.b & mask for x in r.near} for r in packing.neighbours(held, tokenizer, starts, space).collect()}
+    hits = []
+    for lo in range(0, len(y), 1000):
+        sim = y[lo : lo + 1000] @ y.T
+        sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = -2
+        best = np.argpartition(-sim, packing.NEIGHBOURS, axis=1)[:, : packing.NEIGHBOURS]
+        for i, row in enumerate(best):
+            least = sim[i, row].min() - 1e-3  # ties and rounding count as found
+            hits.append(sum(sim[i, j] >= least for j in got[lo + i]) / packing.NEIGHBOURS)
+    return float(np.mean(hits))
+
+
+def test_packing_graph_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert recall(packing.encode(docs, p("word_bpe_49k.json"), 2), p("word_bpe_49k.json")) >= 0.9
 
 
 def test_packing_joins_near_copies_across_the_whole_corpus(spark):
