@@ -10,13 +10,15 @@ probability of their weighted Jaccard similarity. Only darts up to a rank of
 about (k ln k + 2k) / (sum of weights) are thrown, k ln k + 2k on average for
 any document; where a coordinate stays empty, the rank is doubled.
 
-Signatures are cut into bands. Documents that share a band meet in a bucket and
-are compared by their whole shingle sets; pairs with a similarity of at least
-``least`` are links, and classes are the components of the links. Within a
-bucket not all pairs are formed: members are compared with one centre first.
-Buckets whose members are then of one class are done, since further links could
-join nothing; in the others 2, 4, 8, ... more members become centres, until
-each member of another class was compared. No bucket has a cap.
+Signatures are cut into bands. Documents that share a band meet in a bucket, where
+whole signatures are compared: a pair whose coordinates agree so rarely that a
+similarity of ``least`` has a chance of less than 10^-5 is no candidate. Candidates are
+compared by their whole shingle sets; those with a similarity of at least ``least``
+are links, and classes are the components of the links. Within a bucket not all
+candidates are formed: members are compared with one centre first, then, in buckets
+of several classes still, members of different classes with 8, 64, 512, ... more
+centres, until each was one. No bucket has a cap; a large one is cut into chunks of
+about ``CHUNK`` members, each of which meets the centres of the round.
 
 Documents with the same words in the same order are one node throughout.
 
@@ -36,15 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
 from graphloom.llm.decontaminate import Hashes, roll, words
-from graphloom.llm.shared import HOT_SHARE, SALTS, materialise, release, salted_left_join
+from graphloom.llm.shared import HOT_SHARE, SALTS, lean, materialise, release, salted_left_join
 
 #: Chance to miss a pair of similarity s: (1 - s ** ROWS) ** BANDS; 5e-5 at 0.8.
 BANDS, ROWS = 25, 5
+#: Members of a bucket in one task's hands, on average; centres of a round are up to a quarter.
+CHUNK = 4096
 #: Up to so many nodes, the texts to compare are picked by a broadcast of their ids (about 60 bytes each).
 BROADCAST_NODES = 150_000
 
@@ -136,18 +141,29 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def short(sig: np.ndarray) -> list[bytes]:
+    """A byte a coordinate, to estimate similarities by."""
+    return [row.tobytes() for row in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
+
+
+def floor_of(least: float) -> int:
+    """Coordinates that agree in all but one in 10^5 pairs of similarity ``least``, and more."""
+    k = BANDS * ROWS
+    return max(0, math.floor(k * least - 4.5 * math.sqrt(k * least * (1 - least))))
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = Hashes()
     for b in batches:
-        digests, bands = [], []
+        digests, bands, shorts = [], [], []
         held: list[np.ndarray] = []
         at: list[int] = []
 
         def flush() -> None:
             if held:
                 sig = signatures([(x, np.ones(len(x))) for x in held], BANDS * ROWS)
-                for i, row in zip(at, bands_of(sig)):
-                    bands[i] = row
+                for i, row, few in zip(at, bands_of(sig), short(sig)):
+                    bands[i], shorts[i] = row, few
                 held.clear()
                 at.clear()
 
@@ -156,6 +172,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = words(text)
             digests.append(digest(w))
             bands.append(None)
+            shorts.append(None)
             s = shingles(w, hashes)
             if len(s):
                 held.append(s)
@@ -165,21 +182,67 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 flush()
                 size = 0
         flush()
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": digests, "bands": bands})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": digests, "bands": bands, "sig": shorts})
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """Bucket and node of every band whose bucket holds several nodes."""
+    """bucket, node, the bucket's least node and size, and the node's signature, of every band whose bucket holds several nodes."""
     every = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "node")
     sizes = materialise(every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
-    members = materialise(salted_left_join(every, sizes.withColumn("size", F.col("n")), "bucket", "n", ["node"]).where("size is not null"), "members")
+    members = salted_left_join(every, sizes.withColumn("size", F.col("n")), "bucket", "n", ["node"]).where("size is not null")
+    members = materialise(members.join(nodes.select("node", "sig"), "node"), "members")
     release(sizes)
     return members
 
 
+def _candidates(rows: DataFrame, floor: int) -> DataFrame:
+    """Pairs (centre, node) of a bucket with ``floor`` coordinates in common or more, of different components.
+
+    ``rows`` have bucket, size, node, component, sig, turn and centre: whether they are one of this round's.
+    A member meets the centres of smaller turn.
+    """
+    chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.lit(1)).cast("int")
+    every = F.sequence(F.lit(0), chunks - 1)
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int"))
+    rows = rows.select("bucket", "node", "component", "sig", "turn", "centre", F.explode(F.when(F.col("centre"), every).otherwise(own)).alias("chunk"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # All but the last group of the rows so far are whole.
+            t = pa.Table.from_batches([*held, b])
+            key = np.stack([t["bucket"].to_numpy(), t["chunk"].to_numpy().astype(np.int64)])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield of(t.slice(0, last), np.concatenate([[0], cuts]))
+            held = t.slice(last).combine_chunks().to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield of(t, np.array([0, t.num_rows]))
+
+    def of(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        node, component, turn, centre = (t[c].to_numpy() for c in ("node", "component", "turn", "centre"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        left, right = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i in (np.flatnonzero(centre[lo:hi]) + lo).tolist() if hi - lo > 1 else ():
+                them = np.flatnonzero((turn[lo:hi] > turn[i]) & (component[lo:hi] != component[i])) + lo
+                if len(them):
+                    them = them[(sig[them] == sig[i]).sum(1) >= floor]
+                    left.append(np.full(len(them), node[i]))
+                    right.append(node[them])
+        a, b = np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["centre", "node"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(compare), "centre bigint, node bigint").distinct()
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (centre, node) whose shingle sets have a Jaccard similarity of at least ``least``."""
-    pairs = materialise(pairs, "pairs")
     counts = materialise(pairs.groupBy("centre").agg(F.count("*").alias("n")), "centres")
     sizes = counts
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -190,7 +253,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     hot = F.broadcast(sizes.where("salts > 1").select("centre", "salts"))
     members = pairs.join(hot, "centre", "left").select("node", "centre", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     uses = centres.select("node", F.lit(None).cast("bigint").alias("centre"), "salt").unionByName(members)
-    # All uses of a node, as one list: a centre's 64 salts and, as a member, a centre a band at most.
+    # All uses of a node, as one list: a centre's 64 salts and, as a member, the candidates among a round's centres.
     uses = uses.groupBy("node").agg(F.collect_list(F.struct("centre", "salt")).alias("uses"))
     uses = materialise(uses.join(nodes.select("node", F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "node"), "uses")
     want = F.broadcast(uses) if uses.count() <= BROADCAST_NODES else uses
@@ -218,7 +281,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     def _frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=["centre", "salt", "node", "data"]).astype({"node": "Int64"})
 
-    sets = materialise(texts.mapInPandas(emit, "centre bigint, salt int, node bigint, data binary"), "sets", 1000)
+    sets = materialise(texts.mapInPandas(lean(emit), "centre bigint, salt int, node bigint, data binary"), "sets", 1000)
     own = sets.where("node is null").select("centre", "salt", F.col("data").alias("other"))
     both = sets.where("node is not null").join(own, ["centre", "salt"])
 
@@ -231,8 +294,8 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
                 ok.append(both >= least * (len(p) + len(q) - both) and both > 0)
             yield b.loc[ok, ["centre", "node"]]
 
-    links = materialise(both.select("centre", "node", "data", "other").mapInPandas(compare, "centre bigint, node bigint").distinct(), "links", 500)
-    release(pairs, counts, uses, sets)
+    links = materialise(both.select("centre", "node", "data", "other").mapInPandas(lean(compare), "centre bigint, node bigint").distinct(), "links", 500)
+    release(counts, uses, sets)
     return links
 
 
@@ -244,32 +307,41 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id and class_id of every row, and the two tables that this reads."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialise(docs.mapInPandas(_sketch, "doc_id bigint, digest binary, bands array<bigint>"), "sketches", 2000)
-    nodes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    rows = materialise(docs.mapInPandas(lean(_sketch), "doc_id bigint, digest binary, bands array<bigint>, sig binary"), "sketches", 2000)
+    nodes = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = _members(nodes)
 
-    found = _links(docs, nodes, members.where("node != least").select(F.col("least").alias("centre"), "node").distinct(), least)
-    done, more = 1, 2
+    floor = floor_of(least)
+    first = members.withColumns({"component": F.col("node"), "centre": F.col("node") == F.col("least"), "turn": F.col("node")})
+    pairs = materialise(_candidates(first, floor), "pairs")
+    found = _links(docs, nodes, pairs, least)
+    labels = materialise(components(found, "centre", "node"), "labels")
+    release(pairs)
+    done, more = 0, 8
     while True:
-        labels = materialise(components(found, "centre", "node"), "labels")
         # Buckets whose members are of several classes still.
         placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("size"))
-        mixed = materialise(mixed.where((F.col("lo") != F.col("hi")) & (F.col("size") > done)).select("bucket", F.col("size").alias("n"), F.lit(True).alias("mixed")), "mixed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("n"))
+        mixed = materialise(mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > max(done, 2))).select("bucket", "n", F.lit(True).alias("mixed")), "mixed")
         if mixed.isEmpty():
             release(mixed)
             break
-        rest = salted_left_join(placed.select("bucket", "node", "component"), mixed, "bucket", "n", ["node"]).where("mixed").drop("mixed")
-        rest = materialise(rest, "rest")
-        # The next members in order are this round's centres; those before have met everyone.
-        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("r") <= done + more)
-        ranked = ranked.where(F.col("r") > done).select("bucket", F.col("node").alias("centre"), F.col("component").alias("other"))
-        pairs = rest.join(ranked, "bucket").where("component != other").select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
-        more_links = _links(docs, nodes, pairs, least)
-        old, found = found, materialise(found.unionByName(more_links), "links")
-        release(old, more_links, mixed, rest, labels)
-        done, more = done + more, more * 2
+        rest = salted_left_join(placed.drop("least"), mixed, "bucket", "n", ["node"]).where("mixed").drop("mixed")
+        # Each member has its turn in a bucket's order by hash: done to done + more of them, on average, are this round's centres.
+        turn = F.shiftrightunsigned(F.xxhash64("bucket", "node"), 11) * F.lit(2.0**-53)
+        upto = lambda n: F.lit(float(n)) / F.col("size") if n < 1 << 40 else F.lit(2.0)
+        rest = rest.withColumn("turn", turn).withColumn("centre", (F.col("turn") >= upto(done)) & (F.col("turn") < upto(done + more)))
+        pairs = materialise(_candidates(rest, floor), "pairs")
+        if not pairs.isEmpty():
+            more_links = _links(docs, nodes, pairs, least)
+            if not more_links.isEmpty():
+                old, found = found, materialise(found.unionByName(more_links), "links")
+                release(old, labels)
+                labels = materialise(components(found, "centre", "node"), "labels")
+            release(more_links)
+        release(mixed, pairs)
+        done, more = done + more, min(more * 8, CHUNK // 4)
 
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -82,7 +82,7 @@ def test_a_bucket_of_several_classes_is_worked_off(spark, monkeypatch):
     import pandas as pd
 
     sketch = pd.concat(dm._sketch(iter([pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})])))
-    table = spark.createDataFrame([(int(i), bytes(d), [int(x) for x in b]) for i, d, b in sketch.itertuples(index=False)], "doc_id bigint, digest binary, bands array<bigint>")
+    table = spark.createDataFrame([(int(i), bytes(d), [int(x) for x in b], bytes(g)) for i, d, b, g in sketch.itertuples(index=False)], "doc_id bigint, digest binary, bands array<bigint>, sig binary")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     real = dm.materialise
     monkeypatch.setattr(dm, "materialise", lambda df, what, *a: table if what == "sketches" else real(df, what, *a))
