@@ -163,3 +163,13 @@ def test_quality_on_tables(spark, docs, no_docs, texts):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in got if r.score >= 0.7), key=str)
     assert quality.score(no_docs, model).count() == 0
     assert quality.learn(no_docs, labels, F.lit(True)).share == 0.5
+
+
+def test_quality_query_on_held_out_labels(spark):
+    """The query's scores, against labels that it hasn't seen."""
+    from graphloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op4_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out AND quality IS NOT NULL")
+    got = rows.selectExpr("count(*) AS n", "avg(cast((score >= 0.5) = (quality = 1) AS int)) AS right").first()
+    assert got["n"] > 50 and got["right"] >= 0.95
