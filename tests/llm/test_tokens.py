@@ -183,3 +183,52 @@ def test_packing_joins_near_copies_across_the_whole_corpus(spark):
     order = [r.doc_id % 10_000 for r in got]
     assert sorted(order) == sorted([*range(2500)] * 2)
     assert sum(a == b for a, b in zip(order, order[1:])) >= 0.9 * 2500
+
+
+def paths_by_hand(links):
+    """Links of (s, h, u, v), the largest first, each taken if both have room and it closes no circle; the smaller end of a path first."""
+    met, root = {a: [] for _, _, *ends in links for a in ends}, {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for _, _, u, v in sorted(set(links), reverse=True):
+        if len(met[u]) < 2 and len(met[v]) < 2 and find(u) != find(v):
+            met[u].append(v)
+            met[v].append(u)
+            root[find(u)] = find(v)
+    out = {}
+    for first in sorted(a for a in met if len(met[a]) < 2):
+        if first not in out:
+            path = [first]
+            while more := [b for b in met[path[-1]] if b not in path[-2:]]:
+                path.append(more[0])
+            out |= {a: (first, i) for i, a in enumerate(path)}
+    return out
+
+
+def test_packing_paths_in_rounds_are_those_of_one_task(spark):
+    rng = np.random.default_rng(6)
+    at = rng.random((300, 3))
+    near, sim = exact_neighbours(-((at[:, None] - at) ** 2).sum(2))
+    s = np.rint(sim * 40).astype(int)  # many are equal
+    s[:60, :60] = 0  # as of copies
+    rows = [(i, [(int(s[i, j]), ~int(j)) for j in near[i]]) for i in range(300)] + [(300, []), (301, [(5, ~302)]), (302, [])]
+    made = packing.materialise(spark.createDataFrame(rows, "node bigint, near array<struct<s: int, b: bigint>>"), "near")
+    ends = [(x, min(i, ~b), max(i, ~b)) for i, v in rows for x, b in v]
+    h = {(r.u, r.v): r.h for r in spark.createDataFrame([e[1:] for e in ends], "u bigint, v bigint").selectExpr("u", "v", "hash(u, v) h").collect()}
+    want = paths_by_hand([(x, h[u, v], u, v) for x, u, v in ends]) | {300: (300, 0)}
+    for most in (10**9, 500):
+        assert {r.node: (r.first, r.place) for r in packing.paths(made, most).collect()} == want
+
+
+def test_packing_is_the_same_however_much_one_task_takes(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = []
+    for most in (packing.GROUP, 100):
+        monkeypatch.setattr(packing, "GROUP", most)
+        got = packing.pack(docs, p("word_bpe_49k.json")).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+        seen.append(sorted(map(tuple, got)))
+    assert seen[0] == seen[1] and len(seen[0]) >= docs.count() > 100
