@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -232,3 +233,24 @@ def test_packing_is_the_same_however_much_one_task_takes(spark, monkeypatch):
         got = packing.pack(docs, p("word_bpe_49k.json")).select("doc_id", "start", "length", "sequence_id", "offset").collect()
         seen.append(sorted(map(tuple, got)))
     assert seen[0] == seen[1] and len(seen[0]) >= docs.count() > 100
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cutting_a_batch_costs_little_more_than_splitting_it(name):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    enc, rng = Encoder(p(name)), random.Random(3)
+    texts = [" ".join(rng.choice(["it's", "word", "other,", "7", "end."]) + rng.choice("abc") for _ in range(400)) for _ in range(500)]
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: enc._pieces(texts)) < 12 * least(lambda: pc.split_pattern(pa.array(texts, pa.large_string()), " "))
+    for got, text in zip(enc.many(["", " ", *texts[:20]]), ["", " ", *texts[:20]]):
+        assert got.tolist() == enc.tok.encode(text, add_special_tokens=False).ids
