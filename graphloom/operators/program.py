@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STEPS, MAX_CALLS, MAX_ROWS, MAX_BYTES = 16, 8, 100, 4_000_000
+MAX_STEPS, MAX_CALLS, MAX_BYTES = 16, 8, 4_000_000
 
 
 class ProgramError(ValueError):
@@ -56,7 +56,7 @@ def _resolved(value, tables: dict[str, DataFrame]):
 
 
 def select(df: DataFrame, spec: dict) -> DataFrame:
-    """pointer, then where, then fields, then limit."""
+    """pointer, then where, then fields, then limit; without a limit, all rows."""
     for part in [p for p in (spec.get("pointer") or "").split("/") if p]:
         name = part.replace("~1", "/").replace("~0", "~")
         kind = dict(df.dtypes).get(name, "")
@@ -68,11 +68,11 @@ def select(df: DataFrame, spec: dict) -> DataFrame:
     if spec.get("fields"):
         df = df.select(*spec["fields"])
     limit = spec.get("limit")
-    if limit is not None and not 0 <= limit <= MAX_ROWS:
-        raise ProgramError(f"limit is at most {MAX_ROWS}")
-    if limit is not None or spec.get("where"):
-        df = df.limit(MAX_ROWS if limit is None else limit)
-    return df
+    if limit is None:
+        return df
+    if limit < 0:
+        raise ProgramError("limit is 0 or more")
+    return df.limit(limit)
 
 
 def run(program: dict, calls: dict[str, Callable[..., DataFrame]]) -> DataFrame:

@@ -205,6 +205,14 @@ def test_program_rules(spark):
             program.run(bad, call)
 
 
+def test_program_keeps_all_rows_that_match(spark):
+    """No limit is no limit, and one of more than a hundred rows is taken at its word."""
+    call = {"rows": lambda: spark.range(1000).select(F.col("id"), (F.col("id") % 2).alias("odd"))}
+    pick = lambda **more: {"steps": [{"id": "a", "call": "rows"}, {"id": "b", "select": {"from": "a", "where": {"equals": {"odd": 1}}, **more}}], "return": "b"}
+    assert program.run(pick(), call).count() == 500
+    assert program.run(pick(limit=300), call).count() == 300
+
+
 def test_json_comments():
     assert json.loads(readers.without_json_comments('{"a": "//x", /* c */ "b": 1 // d\n}')) == {"a": "//x", "b": 1}
 
