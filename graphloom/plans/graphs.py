@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import graph as g
 from graphloom.plans.bindings import GRAPH, entry_parts, part_graph
 from graphloom.plans.registry import query
-from graphloom.session import table
+from graphloom.session import cut, table
 
 _REACH = f"""WITH RECURSIVE {GRAPH},
 r AS (SELECT p_partkey AS node FROM part WHERE p_size <= 3 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"""
@@ -23,7 +23,7 @@ m AS (SELECT x.src AS node, least(x.src, min(x.dst)) AS component FROM t x JOIN
 @query("reachability", f"{_REACH} SELECT p_partkey, p_partkey IN (SELECT node FROM r) AS reachable FROM part")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = g.reachable(part_graph(spark, sf_dir), entry_parts(spark, sf_dir)).select(F.col("node").alias("p_partkey"), F.lit(True).alias("reachable"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(reached, "p_partkey", "left").fillna({"reachable": False})
+    return table(spark, sf_dir, "part").select("p_partkey").join(reached.hint("shuffle_hash"), "p_partkey", "left").fillna({"reachable": False})
 
 
 @query("dead_nodes", f"{_REACH} SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
@@ -185,7 +185,7 @@ SELECT node FROM r INTERSECT SELECT node FROM d""",
 )
 def newly_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What entry points reach and changed nodes lead to."""
-    edges, part = part_graph(spark, sf_dir), table(spark, sf_dir, "part")
+    edges, part = cut(part_graph(spark, sf_dir)), table(spark, sf_dir, "part")
     changed = g.reachable(edges, part.where("p_size BETWEEN 10 AND 12").select("p_partkey")).select("node")
     return g.reachable(edges, entry_parts(spark, sf_dir)).select("node").intersect(changed)
 
