@@ -1,25 +1,30 @@
 """Closures over directed edge tables.
 
 Every operator has two forms that give the same rows. Up to ``small`` edges, which
-are counted first, one task holds the adjacency and walks it. Beyond, a fixpoint
-of joins runs: frontier, join, anti-join with what was seen, checkpoint each
-round. Edges may be a multigraph; nodes may be of any orderable type.
+are counted first, one task numbers the nodes and walks the edges as arrays. Beyond,
+a fixpoint of joins runs: frontier, join, anti-join with what was seen, checkpoint
+each round; its joins merge sorted sides, so no table goes by way of the driver.
+Edges may be a multigraph; nodes may be of any orderable type.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from graphloom.session import cut
 
-SMALL = 200_000
+#: Edges that one task holds at most, about 100 bytes each at its peak; those between other nodes than whole numbers count ten.
+SMALL = 20_000_000
+#: Pairs of a source and a node that a task of a closure holds at once, but for those of a single source.
+PAIRS = 2_000_000
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -27,11 +32,14 @@ def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def _fits(df: DataFrame, small: int) -> bool:
-    return df.limit(small + 1).count() <= small
+    most = small if isinstance(df.schema[0].dataType, IntegralType) else small // 10
+    return df.limit(most + 1).count() <= most
 
 
-def _in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Run a walk over whole small tables in one task; each table is tagged and unioned by position."""
+def _in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., list[pa.Array]]) -> DataFrame:
+    """Run a walk over whole tables in one task; each table is tagged and unioned by position.
+
+    The walk gets a list of columns for each table and returns the columns of the result."""
     width, n = max(len(t.columns) for t in tables), len(tables)
     kinds = {}
     tagged = None
@@ -43,21 +51,48 @@ def _in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., Itera
         part = t.select(F.lit(k).alias("t"), *cols)
         tagged = part if tagged is None else tagged.unionByName(part)
 
-    arrow, sizes = to_arrow_schema(StructType.fromDDL(schema)), [len(t.columns) for t in tables]
+    arrow, sizes, union = to_arrow_schema(StructType.fromDDL(schema)), [len(t.columns) for t in tables], to_arrow_schema(tagged.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list[tuple]] = [[] for _ in range(n)]
+        held: list[list[list[pa.Array]]] = [[[] for _ in range(s)] for s in sizes]
         for b in batches:
-            # Arrow's own values: a column with padding would be made one of floats otherwise.
-            for k, *r in zip(*(c.to_pylist() for c in b.columns)):
-                rows[k].append(tuple(r[: sizes[k]]))
-        out = list(walk(*rows))
-        if out:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+            kind = b.column(0).to_numpy()
+            for k in np.unique(kind).tolist():
+                own = b if (kind == k).all() else b.filter(pa.array(kind == k))
+                for i in range(sizes[k]):
+                    held[k][i].append(own.column(i + 1))
+        out = walk(*[[pa.chunked_array(c, union[i + 1].type) for i, c in enumerate(cols)] for cols in held])
+        whole = pa.table([c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+        yield from whole.to_batches(1 << 16)
 
     return tagged.coalesce(1).mapInArrow(run, schema)
 
 
+def _numbered(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct values of some columns, and each column as places among them."""
+    every = pa.chunked_array([c for col in columns for c in col.chunks], columns[0].type).combine_chunks()
+    every = pa.concat_arrays(every.chunks) if isinstance(every, pa.ChunkedArray) else every
+    coded = every.dictionary_encode()
+    return coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _adjacent(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends and the order of edges: ends[starts[i] : starts[i + 1]] are i's neighbours."""
+    order = np.argsort(a, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]), b[order], order
+
+
+def _out_of(starts: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all edges out of some nodes: the node's place among them, and the edge's place."""
+    n = starts[nodes + 1] - starts[nodes]
+    which = np.repeat(np.arange(len(nodes)), n)
+    return which, np.arange(len(which)) + np.repeat(starts[nodes] - (np.cumsum(n) - n), n)
+
+
+def _merge(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 def _type(edges: DataFrame) -> str:
     return edges.schema["a"].dataType.simpleString()
 
@@ -68,27 +103,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "
     start = seeds.select(F.col(seeds.columns[0]).alias("a")).where("a IS NOT NULL").distinct()
     if _fits(e, small) and _fits(start, small):
 
-        def walk(edge_rows, seed_rows):
-            out = defaultdict(list)
-            for a, b in edge_rows:
-                out[a].append(b)
-            depth = {r[0]: 0 for r in seed_rows}
-            queue = deque(depth)
-            while queue:
-                a = queue.popleft()
-                for b in out.get(a, ()):
-                    if b not in depth:
-                        depth[b] = depth[a] + 1
-                        queue.append(b)
-            yield from depth.items()
+        def walk(edge_columns, seed_columns):
+            values, (a, b, front) = _numbered(*edge_columns, *seed_columns)
+            starts, ends, _ = _adjacent(a, b, len(values))
+            depth, level = np.full(len(values), -1), 0
+            while len(front):
+                depth[front] = level
+                found = ends[_out_of(starts, front)[1]]
+                front, level = np.unique(found[depth[found] < 0]), level + 1
+            at = np.flatnonzero(depth >= 0)
+            return [values.take(pa.array(at)), pa.array(depth[at])]
 
         return _in_one_task([e, start], f"node {_type(e)}, depth bigint", walk)
     seen = cut(start.select(F.col("a").alias("node"), F.lit(0).cast("bigint").alias("depth")))
     front, level = seen, 0
     while True:
         level += 1
-        step = front.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level).cast("bigint")))
+        step = front.join(_merge(e), F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        front = cut(step.join(_merge(seen), "node", "left_anti").withColumn("depth", F.lit(level).cast("bigint")))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
@@ -103,7 +135,7 @@ def with_reversed(edges: DataFrame, kind: str, value: str, src: str = "src", dst
 
 def dead(nodes: DataFrame, reached: DataFrame, key: str) -> DataFrame:
     """Nodes that no seed leads to."""
-    return nodes.join(reached.select(F.col("node").alias(key)), key, "left_anti")
+    return nodes.join(reached.select(F.col("node").alias(key)).hint("shuffle_hash"), key, "left_anti")
 
 
 def neighbourhood(edges: DataFrame, changed: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -127,7 +159,7 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", self_loops: boo
     e = e.where("a != b")
     kind = _type(e)
     if _fits(e, small):
-        found = _in_one_task([e], f"node {kind}, component {kind}", _tarjan)
+        found = _in_one_task([e], f"node {kind}, component {kind}", _components)
     else:
         found = _coloured(e)
     if not self_loops:
@@ -135,46 +167,70 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", self_loops: boo
     return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
-def _tarjan(edge_rows):
-    out = defaultdict(list)
-    for a, b in edge_rows:
-        out[a].append(b)
-    index, low, on, stack, n = {}, {}, set(), [], 0
-    for root in list(out):
-        if root in index:
+def _components(edge_columns):
+    """Strongly connected components of several nodes: what is on no cycle is peeled off first, Tarjan's walk takes the rest."""
+    values, (a, b) = _numbered(*edge_columns)
+    n = len(values)
+    alive = np.ones(n, bool)
+    for x, y in ((a, b), (b, a)):
+        starts, ends, _ = _adjacent(x, y, n)
+        into = np.bincount(y[alive[x]], minlength=n)
+        gone = np.flatnonzero(alive & (into == 0))
+        while len(gone):
+            alive[gone] = False
+            met, less = np.unique(ends[_out_of(starts, gone)[1]], return_counts=True)
+            into[met] -= less
+            gone = met[alive[met] & (into[met] == 0)]
+    both = alive[a] & alive[b]
+    starts, ends, _ = _adjacent(a[both], b[both], n)
+    at, ends = starts.tolist(), ends.tolist()
+    last = at[1:]
+    index, low, on = [-1] * n, [0] * n, bytearray(n)
+    stack: list[int] = []
+    count, nodes, of = 0, [], []
+    for root in np.flatnonzero(alive).tolist():
+        if index[root] >= 0:
             continue
-        work = [(root, iter(out.get(root, ())))]
-        index[root] = low[root] = n
-        n += 1
-        stack.append(root)
-        on.add(root)
+        work = [root]
         while work:
-            v, it = work[-1]
-            for w in it:
-                if w not in index:
-                    index[w] = low[w] = n
-                    n += 1
-                    stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out.get(w, ()))))
+            v = work[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = 1
+            k, end, lo = at[v], last[v], low[v]
+            while k < end:
+                w = ends[k]
+                k += 1
+                if index[w] < 0:
+                    work.append(w)
                     break
-                if w in on:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    group = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        group.append(w)
-                        if w == v:
-                            break
-                    if len(group) > 1:
-                        least = min(group)
-                        yield from ((w, least) for w in group)
+                if on[w] and index[w] < lo:
+                    lo = index[w]
+            at[v], low[v] = k, lo
+            if work[-1] != v:
+                continue
+            work.pop()
+            if work and lo < low[work[-1]]:
+                low[work[-1]] = lo
+            if lo == index[v]:
+                size = len(nodes)
+                while True:
+                    w = stack.pop()
+                    on[w] = 0
+                    nodes.append(w)
+                    of.append(v)
+                    if w == v:
+                        break
+                if len(nodes) == size + 1:
+                    del nodes[size:], of[size:]
+    nodes, of = np.array(nodes, np.int64), np.array(of, np.int64)
+    # The smallest member names the component: places are put in order of values.
+    order = pc.sort_indices(values.take(pa.array(nodes))).to_numpy()
+    nodes, of = nodes[order], of[order]
+    _, first, inverse = np.unique(of, return_index=True, return_inverse=True)
+    return [values.take(pa.array(nodes)), values.take(pa.array(nodes[first[inverse]]))]
 
 
 def _coloured(e: DataFrame) -> DataFrame:
@@ -183,7 +239,7 @@ def _coloured(e: DataFrame) -> DataFrame:
     found = None
     while True:
         while True:
-            keep = cut(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            keep = cut(e.join(_merge(e.select(F.col("b").alias("a")).distinct()), "a", "left_semi").join(_merge(e.select(F.col("a").alias("b")).distinct()), "b", "left_semi").select("a", "b"))
             same = keep.count() == e.count()
             e = keep
             if same:
@@ -192,22 +248,22 @@ def _coloured(e: DataFrame) -> DataFrame:
             break
         colour = cut(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("c", F.col("node")))
         while True:
-            offers = e.join(colour, F.col("a") == F.col("node")).groupBy("b").agg(F.min("c").alias("offer"))
-            nxt = cut(colour.join(offers, F.col("node") == F.col("b"), "left").select("node", F.least("c", F.coalesce("offer", "c")).alias("c"), (F.col("offer") < F.col("c")).alias("moved")))
+            offers = e.join(_merge(colour), F.col("a") == F.col("node")).groupBy("b").agg(F.min("c").alias("offer"))
+            nxt = cut(colour.join(_merge(offers), F.col("node") == F.col("b"), "left").select("node", F.least("c", F.coalesce("offer", "c")).alias("c"), (F.col("offer") < F.col("c")).alias("moved")))
             colour = nxt.select("node", "c")
             if nxt.where("moved").isEmpty():
                 break
         # reverse edges within a colour
         x, y = colour.alias("x"), colour.alias("y")
-        inner = cut(e.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where("x.c = y.c").select("a", "b"))
+        inner = cut(e.join(_merge(x), F.col("a") == F.col("x.node")).join(_merge(y), F.col("b") == F.col("y.node")).where("x.c = y.c").select("a", "b"))
         roots = colour.where("node = c").select("node")
         back = reachable(inner, roots, "b", "a", small=0).select("node")
-        done = cut(back.join(colour, "node").select("node", F.col("c").alias("component")))
+        done = cut(back.join(_merge(colour), "node").select("node", F.col("c").alias("component")))
         several = done.groupBy("component").count().where("count > 1").select("component")
         part = done.join(several, "component", "left_semi").select("node", "component")
         found = part if found is None else found.unionByName(part)
         gone = done.select(F.col("node").alias("a"))
-        e = cut(e.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+        e = cut(e.join(_merge(gone), "a", "left_anti").join(_merge(gone.withColumnRenamed("a", "b")), "b", "left_anti").select("a", "b"))
     if found is None:
         found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     # the smallest member names the component
@@ -223,6 +279,7 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int = 8, src: str = "src",
     of the result, as its callers ask for all of them.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), (F.col("visible") if "visible" in edges.columns else F.lit(True)).alias("v")).distinct()
+    e = cut(e)  # made once: every round joins it
     level = seeds.select(F.col(seeds.columns[0]).alias("tip")).distinct().select("tip", F.array("tip").alias("path"), F.lit(True).alias("visible"))
     out = None
     for hops in range(1, depth + 1):
@@ -240,9 +297,9 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: st
     e = cut(_edges(edges, src, dst))
     d = cut(reachable(e, seeds, "a", "b"))
     a, b = d.alias("p"), d.alias("q")
-    parents = e.join(a, F.col("a") == F.col("p.node")).join(b, F.col("b") == F.col("q.node")).where("q.depth = p.depth + 1")
+    parents = e.join(_merge(a), F.col("a") == F.col("p.node")).join(_merge(b), F.col("b") == F.col("q.node")).where("q.depth = p.depth + 1")
     first = parents.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-    return d.join(first, "node", "left")
+    return d.join(_merge(first), "node", "left")
 
 
 def climb(edges: DataFrame, nodes: DataFrame, key: str, child: str = "dst", parent: str = "src") -> DataFrame:

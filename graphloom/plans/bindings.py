@@ -14,11 +14,11 @@ e AS (SELECT DISTINCT e0.a AS src, e0.b AS dst FROM e0 JOIN part p ON p.p_partke
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow each other in an order, if of one brand: (src, dst)."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # A part's brands come along before parts meet: of the pairs, only those of one brand are made distinct, and no table is broadcast.
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_set("p_brand").alias("brands"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    pairs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL").distinct()
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    p, q = part.alias("p"), part.alias("q")
-    return pairs.join(p, F.col("src") == F.col("p.p_partkey")).join(q, F.col("dst") == F.col("q.p_partkey")).where("p.p_brand = q.p_brand").select("src", "dst")
+    pairs = lines.join(brands.hint("shuffle_hash"), "l_partkey", "left").withColumns({"dst": F.lead("l_partkey").over(w), "others": F.lead("brands").over(w)})
+    return pairs.where(F.arrays_overlap("brands", "others")).select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
 def entry_parts(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,15 +34,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a table to the reliable checkpoint folder: its lineage ends here.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set
-    only where there is none.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``; one of our own is set only where there is none."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a table to the reliable checkpoint folder: its lineage ends here."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_file(spark: SparkSession, what: str) -> str:
+    """URI of a file to be, in the checkpoint folder that all executors share."""
+    return f"{_checkpoint_dir(spark)}/graphloom-{what}-{uuid.uuid4().hex}"
+
+
+def _at(uri: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith(("/", "file:")) else fs.FileSystem.from_uri(uri)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Write a whole file; it is there entirely or not at all."""
+    place, path = _at(uri)
+    part = f"{path}.{uuid.uuid4().hex[:8]}"
+    with place.open_output_stream(part) as f:
+        f.write(data)
+    place.move(part, path)
+
+
+def get_file(uri: str) -> bytes:
+    place, path = _at(uri)
+    with place.open_input_file(path) as f:
+        return f.read()

@@ -117,3 +117,22 @@ def test_flag_of_any_hop(spark):
     e = spark.createDataFrame([("A", "M", False), ("M", "I", True), ("I", "J", False)], "src string, dst string, duty boolean")
     got = {r.src + r.dst: r.duty for r in g.flagged_closure(e, "duty", any_hop=True).collect()}
     assert got == {"AM": False, "MI": True, "IJ": False, "AI": True, "MJ": True, "AJ": True}
+
+
+def test_many_edges_are_walked_at_once(spark):
+    """A circle of more edges than were walked in one task before; by joins it takes a round a hop."""
+    n = 220_000
+    e = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    assert g.reachable(e, spark.range(1)).agg(F.max("depth")).first()[0] == n - 1
+    assert g.cycles(e).groupBy("component").count().collect() == [(0, n)]
+
+
+def test_part_graph_is_not_broadcast_and_keeps_parts_of_several_brands(spark, tmp_path):
+    from graphloom.plans.bindings import part_graph
+
+    spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "y"), (4, None), (5, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(7, i, p) for i, p in enumerate([1, 2, 3, 1, 9, 1, 4, 5])] + [(8, 0, 1), (8, 1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = part_graph(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (2, 3)]
