@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegralType, StructType
 
-from graphloom.session import cut
+from graphloom.session import cut, get_file, new_file, put_file
 
 #: Edges that one task holds at most, about 100 bytes each at its peak; those between other nodes than whole numbers count ten.
 SMALL = 20_000_000
@@ -322,23 +322,174 @@ def climb(edges: DataFrame, nodes: DataFrame, key: str, child: str = "dst", pare
     return hop.join(nodes.select(F.col(key).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(key), "owner")
 
 
-def flagged_closure(edges: DataFrame, flag: str, src: str = "src", dst: str = "dst", any_hop: bool = False) -> DataFrame:
+def flagged_closure(edges: DataFrame, flag: str, src: str = "src", dst: str = "dst", any_hop: bool = False, small: int = SMALL) -> DataFrame:
     """All (src, dst) pairs with a path between, of any length, and whether some path
     carries the flag: on every edge, or with ``any_hop`` on one edge at least. The
-    flag can only be upgraded. Each round doubles the hops, until nothing changes."""
-    seen = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(flag).alias("f")).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
-    size = seen.select(F.count("*"), F.count_if("f")).first()
-    while True:
-        y = seen.select(F.col("a").alias("m"), F.col("b").alias("to"), F.col("f").alias("g"))
-        both = F.col("f") | F.col("g") if any_hop else F.col("f") & F.col("g")
-        step = seen.join(y, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), both.alias("f"))
-        seen = cut(seen.unionByName(step).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
-        before, size = size, seen.select(F.count("*"), F.count_if("f")).first()
-        if size == before:
-            break
+    flag can only be upgraded. Sources are spread over tasks that all read one file of
+    edges, so pairs are neither shuffled nor written; beyond ``small`` edges, each round
+    goes a hop on from the pairs that were new, until nothing changes."""
+    e = cut(_flagged(edges, flag, src, dst))
+    if _fits(e, small):
+        ranges, uri = _filed(e)
+        kind = _type(e)
+        arrow = to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}, f boolean"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            graph = None
+            for lo, hi in ((lo, hi) for b in batches for lo, hi in zip(b["lo"].to_pylist(), b["hi"].to_pylist())):
+                graph = graph or _graph_of(uri)
+                for who, node, f in graph.closure(np.arange(lo, hi), any_hop):
+                    for at in range(0, len(who), 1 << 16):
+                        part = slice(at, at + (1 << 16))
+                        yield pa.record_batch([graph.values.take(pa.array(x[part])).cast(k.type) for x, k in zip((who, node), arrow)] + [pa.array(f[part])], schema=arrow)
+
+        seen = ranges.mapInArrow(run, f"a {kind}, b {kind}, f boolean")
+    else:
+        seen = _closed_by_joins(e, any_hop)
     return seen.select(F.col("a").alias(src), F.col("b").alias(dst), F.col("f").alias(flag))
 
 
+def passed_on(edges: DataFrame, amounts: DataFrame, key: str, amount: str, src: str = "src", dst: str = "dst", small: int = SMALL) -> DataFrame:
+    """``node`` and ``total``: the amounts of all keys that lead to it by a path of any length, each once.
+
+    Up to ``small`` edges, a task adds up what its range of sources passes on before anything is shuffled."""
+    e = cut(_flagged(edges.select(src, dst, F.lit(True).alias("f")), "f", src, dst))
+    own = amounts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("n"))
+    if not _fits(e, small):
+        pairs = _closed_by_joins(e, False)
+        return pairs.join(_merge(own), F.col("a") == F.col("k")).groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("total"))
+    ranges, uri = _filed(e)
+    kind = _type(e)
+    parts = ranges.rdd.getNumPartitions()
+    arrow = to_arrow_schema(StructType.fromDDL(f"node {kind}, n bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, total = None, None
+        for b in batches:
+            graph = graph or _graph_of(uri)
+            if total is None:
+                total, led = np.zeros(len(graph.values), np.int64), np.zeros(len(graph.values), bool)
+            place = pc.index_in(b["k"].cast(graph.values.type), graph.values)
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            at, n = place.drop_null().to_numpy().astype(np.int64), b["n"].to_numpy()[known]
+            many = np.zeros(len(graph.values), np.int64)
+            np.add.at(many, at, n)
+            for who, node, _ in graph.closure(np.unique(at), False):
+                np.add.at(total, node, many[who])
+                led[node] = True
+        if total is not None:
+            met = np.flatnonzero(led)
+            for lo in range(0, len(met), 1 << 16):
+                some = met[lo : lo + (1 << 16)]
+                yield pa.record_batch([graph.values.take(pa.array(some)).cast(arrow[0].type), pa.array(total[some])], schema=arrow)
+
+    # Keys near each other pass on to the same nodes, so ranges of them have short sums.
+    sums = own.repartitionByRange(parts, "k").mapInArrow(run, f"node {kind}, n bigint")
+    return sums.groupBy("node").agg(F.sum("n").alias("total"))
+
+
+def _flagged(edges: DataFrame, flag: str, src: str, dst: str) -> DataFrame:
+    kept = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.coalesce(flag, F.lit(False)).alias("f")).where("a IS NOT NULL AND b IS NOT NULL")
+    return kept.groupBy("a", "b").agg(F.bool_or("f").alias("f"))
+
+
+def _closed_by_joins(e: DataFrame, any_hop: bool) -> DataFrame:
+    new = seen = e
+    step = e.select(F.col("a").alias("m"), F.col("b").alias("to"), F.col("f").alias("g"))
+    both = F.col("f") | F.col("g") if any_hop else F.col("f") & F.col("g")
+    while True:
+        found = new.join(_merge(step), F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), both.alias("f")).groupBy("a", "b").agg(F.bool_or("f").alias("f"))
+        known = seen.select("a", "b", F.col("f").alias("g"))
+        new = cut(found.join(_merge(known), ["a", "b"], "left").where("g IS NULL OR (f AND NOT g)").select("a", "b", "f"))
+        if new.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(new).groupBy("a", "b").agg(F.bool_or("f").alias("f")))
+
+
+def _filed(e: DataFrame) -> tuple[DataFrame, str]:
+    """Ranges (lo, hi) of sources over many tasks, and the file of the graph: one task numbers the nodes, sources first."""
+    spark = e.sparkSession
+    uri = new_file(spark, "edges")
+
+    def write(edge_columns):
+        values, (a, b) = _numbered(*edge_columns[:2])
+        # places in order of first appearance: those of a come first, so sources are 0 to the number of them
+        starts, ends, order = _adjacent(a, b, len(values))
+        flags = edge_columns[2].to_numpy().astype(bool)[order]
+        out = pa.BufferOutputStream()
+        held = {"starts": pa.array(starts), "ends": pa.array(ends), "flags": pa.array(flags), "values": values}
+        for name, column in held.items():
+            with pa.ipc.new_stream(out, pa.schema([(name, column.type)])) as w:
+                w.write_table(pa.table({name: column}))
+        put_file(uri, out.getvalue())
+        return [pa.array([int(a.max()) + 1 if len(a) else 0])]
+
+    sources = _in_one_task([e], "n bigint", write).first()["n"]
+    spans = max(1, min(-(-sources // 64), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = spark.range(0, spans, 1, spans).select(F.expr(f"id * {sources} div {spans}").alias("lo"), F.expr(f"(id + 1) * {sources} div {spans}").alias("hi"))
+    return ranges, uri
+
+
+_READ: dict[str, _Graph] = {}
+
+
+def _graph_of(uri: str) -> _Graph:
+    """A graph's file, read once by a worker for all its tasks."""
+    if uri not in _READ:
+        _READ.clear()
+        _READ[uri] = _Graph(get_file(uri))
+    return _READ[uri]
+
+
+class _Graph:
+    """Numbered nodes and their edges, as a file of _filed holds them."""
+
+    def __init__(self, data: pa.Buffer):
+        source = pa.BufferReader(data)
+        starts, ends, flags, values = (pa.ipc.open_stream(source).read_all().column(0).combine_chunks() for _ in range(4))
+        self.starts, self.ends, self.flags, self.values = starts.to_numpy(), ends.to_numpy(), flags.to_numpy(zero_copy_only=False), values
+
+    def closure(self, sources: np.ndarray, any_hop: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Source, node and flag of all pairs: some sources at a time, fewer where they have many pairs."""
+        todo, size = [sources], 4096
+        while todo:
+            some = todo.pop()
+            if len(some) > size:
+                todo.append(some[size:])
+                some = some[:size]
+            found = self._walk(some, any_hop)
+            if found is None:
+                size = max(1, len(some) // 4)
+                todo.append(some)
+            else:
+                yield found
+
+    def _walk(self, sources: np.ndarray, any_hop: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Pairs as numbers (the source's place, then the node), twice with the flag as last bit; None if they are too many."""
+        n = len(self.starts) - 1
+        front = np.arange(len(sources)) * n + sources
+        held = np.zeros(len(sources), bool) if any_hop else np.ones(len(sources), bool)
+        seen = np.empty(0, np.int64)
+        while len(front):
+            which, edge = _out_of(self.starts, front % n)
+            f = held[which] | self.flags[edge] if any_hop else held[which] & self.flags[edge]
+            pairs = np.unique((front[which] // n * n + self.ends[edge]) * 2 + f)
+            pairs = pairs[np.append(pairs[1:] >> 1 != pairs[:-1] >> 1, True)] if len(pairs) else pairs  # of both flags, the one that is set
+            at = np.searchsorted(seen, pairs & ~1)
+            old = np.append(seen, -2)[np.minimum(at, len(seen))]
+            there = old >> 1 == pairs >> 1
+            better = there & (pairs > old)
+            seen[at[better]] |= 1
+            new = pairs[~there]
+            seen = np.insert(seen, at[~there], new)
+            if len(seen) > PAIRS and len(sources) > 1:
+                return None
+            going = pairs[~there | better]
+            front, held = going >> 1, (going & 1).astype(bool)
+        pair = seen >> 1
+        return sources[pair // n], pair % n, (seen & 1).astype(bool)
+
+
 def first_in_order(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

@@ -200,9 +200,8 @@ SELECT p_partkey, CAST(coalesce(sum(n), 0) AS BIGINT) AS renders FROM part LEFT
 )
 def render_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct uses of a class, and those of the classes below it."""
-    above = g.flagged_closure(supers(spark, sf_dir).where("NOT duty"), "duty").select("src", "dst")
-    uses = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"))
-    passed = uses.join(above, F.col("k") == F.col("src")).select(F.col("dst").alias("node"), "n")
-    total = uses.select(F.col("k").alias("node"), "n").unionByName(passed).groupBy("node").agg(F.sum("n").alias("renders"))
+    uses = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("n"))
+    passed = g.passed_on(supers(spark, sf_dir).where("NOT duty"), uses, "node", "n").withColumnRenamed("total", "n")
+    total = uses.unionByName(passed).groupBy("node").agg(F.sum("n").alias("renders"))
     part = table(spark, sf_dir, "part").select("p_partkey")
     return part.join(total, F.col("p_partkey") == F.col("node"), "left").select("p_partkey", F.coalesce("renders", F.lit(0).cast("bigint")).alias("renders"))

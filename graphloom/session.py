@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +60,7 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith(("/", "file:")) else fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, data: bytes) -> None:
+def put_file(uri: str, data: bytes | pa.Buffer) -> None:
     """Write a whole file; it is there entirely or not at all."""
     place, path = _at(uri)
     part = f"{path}.{uuid.uuid4().hex[:8]}"

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,35 @@ def test_part_graph_is_not_broadcast_and_keeps_parts_of_several_brands(spark, tm
     found = part_graph(spark, str(tmp_path))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("small", [g.SMALL, 0])
+def test_closure_of_a_random_graph_and_what_is_passed_on(spark, small):
+    """Both forms against plain loops."""
+    rng = random.Random(4)
+    rows = {(rng.randrange(14), rng.randrange(14)): rng.random() < 0.4 for _ in range(22)}
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", f) for (a, b), f in rows.items()], "src string, dst string, duty boolean")
+    for any_hop in (True, False):
+        have = {(*k, f) for k, f in rows.items()}
+        while more := {(a, d, (f or h) if any_hop else (f and h)) for a, b, f in have for (c, d), h in rows.items() if c == b} - have:
+            have |= more
+        want = {(f"n{a}", f"n{b}"): (a, b, True) in have for a, b, _ in have}
+        assert {(r.src, r.dst): r.duty for r in g.flagged_closure(e, "duty", any_hop=any_hop, small=small).collect()} == want
+    amounts = spark.createDataFrame([(f"n{i}", i + 1) for i in range(16)], "k string, n long")
+    total = {b: sum(int(x[1:]) + 1 for x, y in want if y == b) for _, b in want}
+    assert {r.node: r.total for r in g.passed_on(e, amounts, "k", "n", small=small).collect()} == total
+
+
+def test_pairs_of_a_closure_are_not_shuffled(spark):
+    e = spark.range(1, 2000).select(F.col("id").alias("src"), F.shiftright("id", 1).alias("dst"), F.lit(False).alias("duty"))
+    found = g.flagged_closure(e, "duty")
+    assert found.count() == sum(i.bit_length() for i in range(1, 2000))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_of_many_pairs_are_taken_fewer_at_a_time(monkeypatch):
+    monkeypatch.setattr(g, "PAIRS", 20)
+    graph = g._Graph.__new__(g._Graph)
+    graph.starts, graph.ends, graph.flags = np.array([*range(12), 11]), np.arange(1, 12), np.zeros(11, bool)
+    found = [(a, b) for who, node, _ in graph.closure(np.arange(11), True) for a, b in zip(who.tolist(), node.tolist())]
+    assert sorted(found) == [(a, b) for a in range(11) for b in range(a + 1, 12)]
