@@ -6,12 +6,15 @@ source), text (normalised) and tokens.
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import div, fnv32
-from graphloom.operators.graph import cycles
+from graphloom.operators.graph import SMALL, in_one_task
 from graphloom.session import cut
 
 MODES = ("strict", "mild", "weak", "semantic")
@@ -85,34 +88,47 @@ def ordered(group: DataFrame) -> list[Column]:
 def collapse(group: DataFrame) -> DataFrame:
     """Greedy suppression in order: a group goes if one kept group overlaps all its instances.
 
-    Only groups that share overlapping ranges can suppress each other, so each
-    component of the overlap graph is worked off by itself. Overlaps are found in
-    order of the ranges of a file: a group is tied to the one before it that
-    reaches furthest, which is enough to connect all that overlap.
+    The groups that would suppress another, if kept, are those before it that overlap all its
+    instances. They are found by equality of lines: of two ranges that overlap, one holds the
+    first line of the other. What is kept then follows from these pairs of groups alone.
     """
     # Ids of sorted partitions grow in the sort's order; written down, they stay what they are.
     g = cut(group.orderBy(*ordered(group)).withColumn("gid", F.monotonically_increasing_id()))
-    inst = g.select("gid", F.explode("instances").alias("i")).select("gid", "i.*")
-    w = Window.partitionBy("path").orderBy("start_line", "end_line", "gid").rowsBetween(Window.unboundedPreceding, -1)
-    far = inst.withColumn("_p", F.max(F.struct("end_line", "gid")).over(w)).where(F.col("_p.end_line") >= F.col("start_line"))
-    ties = far.select(F.col("gid").alias("src"), F.col("_p.gid").alias("dst")).where("src != dst").distinct()
-    both = ties.unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    parts = cycles(both, self_loops=False).select(F.col("node").alias("gid"), "component")
-    rows = g.select("gid", "instances").join(parts, "gid")
-
-    def greedy(x: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        ids = []
-        for gid, inst in x.sort_values("gid")[["gid", "instances"]].itertuples(index=False):
-            own = [(i["path"], i["start_line"], i["end_line"]) for i in inst]
-            if not any(all(any(p == q and a <= d and c <= b for q, c, d in k) for p, a, b in own) for k in kept):
-                kept.append(own)
-                ids.append(gid)
-        return pd.DataFrame({"gid": ids})
-
-    tied = rows.groupBy("component").applyInPandas(greedy, "gid bigint")
-    alone = g.join(parts, "gid", "left_anti").select("gid")
-    return g.join(alone.unionByName(tied), "gid", "left_semi").drop("gid")
+    inst = cut(g.select("gid", F.size("instances").alias("n"), F.posexplode("instances").alias("i", "r")).select("gid", "n", "i", "r.*"))
+    starts = inst.select("path", F.col("start_line").alias("line"), *[F.col(c).alias(f"{c}_s") for c in ("gid", "n", "i")])
+    within = inst.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line"), "gid", "n", "i")
+    met = within.join(starts, ["path", "line"]).where("gid != gid_s")
+    own = lambda later: [F.when(later, F.col(c)).otherwise(F.col(f"{c}_s")).alias(c) for c in ("gid", "n", "i")]
+    pairs = met.select(F.least("gid", "gid_s").alias("by"), *own(F.col("gid") > F.col("gid_s"))).distinct()
+    ruled = cut(pairs.groupBy("gid", "by").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n").select("gid", "by"))
+    return g.join(suppressed(ruled), "gid", "left_anti").drop("gid")
+
+
+def suppressed(ruled: DataFrame, small: int = SMALL) -> DataFrame:
+    """The ``gid`` that go, of pairs of a group and an earlier one, ``by``, that rules it out if kept: by one task, or beyond ``small`` pairs by rounds."""
+    if ruled.limit(small + 1).count() <= small:
+
+        def walk(columns):
+            gid, by = (c.to_numpy() for c in columns)
+            order = np.lexsort((by, gid))
+            gone: set[int] = set()
+            for lo in range(0, len(order), 1 << 18):
+                some = order[lo : lo + (1 << 18)]
+                for a, b in zip(gid[some].tolist(), by[some].tolist()):
+                    if b not in gone:
+                        gone.add(a)
+            return [pa.array(sorted(gone), pa.int64())]
+
+        return in_one_task([ruled], "gid bigint", walk)
+    out, left = [], ruled
+    while True:
+        # An earlier group that nothing can rule out any more is kept, and what it rules out goes.
+        kept = left.select("by").distinct().join(left.select(F.col("gid").alias("by")).distinct(), "by", "left_anti")
+        gone = cut(left.join(kept, "by", "left_semi").select("gid").distinct())
+        if gone.isEmpty():
+            return reduce(DataFrame.unionByName, out, gone)
+        out.append(gone)
+        left = cut(left.join(gone, "gid", "left_anti").join(gone.select(F.col("gid").alias("by")), "by", "left_anti").select("gid", "by"))
 
 
 def stats(lines: DataFrame, group: DataFrame, threshold_bp: int = 0) -> DataFrame:

@@ -36,7 +36,7 @@ def _fits(df: DataFrame, small: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def _in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., list[pa.Array]]) -> DataFrame:
+def in_one_task(tables: list[DataFrame], schema: str, walk: Callable[..., list[pa.Array]]) -> DataFrame:
     """Run a walk over whole tables in one task; each table is tagged and unioned by position.
 
     The walk gets a list of columns for each table and returns the columns of the result."""
@@ -114,7 +114,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "
             at = np.flatnonzero(depth >= 0)
             return [values.take(pa.array(at)), pa.array(depth[at])]
 
-        return _in_one_task([e, start], f"node {_type(e)}, depth bigint", walk)
+        return in_one_task([e, start], f"node {_type(e)}, depth bigint", walk)
     seen = cut(start.select(F.col("a").alias("node"), F.lit(0).cast("bigint").alias("depth")))
     front, level = seen, 0
     while True:
@@ -159,7 +159,7 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst", self_loops: boo
     e = e.where("a != b")
     kind = _type(e)
     if _fits(e, small):
-        found = _in_one_task([e], f"node {kind}, component {kind}", _components)
+        found = in_one_task([e], f"node {kind}, component {kind}", _components)
     else:
         found = _coloured(e)
     if not self_loops:
@@ -424,7 +424,7 @@ def _filed(e: DataFrame) -> tuple[DataFrame, str]:
         put_file(uri, out.getvalue())
         return [pa.array([int(a.max()) + 1 if len(a) else 0])]
 
-    sources = _in_one_task([e], "n bigint", write).first()["n"]
+    sources = in_one_task([e], "n bigint", write).first()["n"]
     spans = max(1, min(-(-sources // 64), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ranges = spark.range(0, spans, 1, spans).select(F.expr(f"id * {sources} div {spans}").alias("lo"), F.expr(f"(id + 1) * {sources} div {spans}").alias("hi"))
     return ranges, uri

@@ -238,3 +238,10 @@ def test_default_levels_and_aliases(spark):
     assert {r.name: r.level for r in findings.default_levels(kinds).collect()} == {"code-duplication": "warn", "private-widget-class": "off", "dead-file": "error"}
     assert {"unused-dev-deps", "unused-dev-dependencies", "all"} <= set(findings.rule_aliases("x/unused-dev-dependency"))
     assert {"process-exec", "process-execution"} <= set(findings.rule_aliases("x/security-process-execution"))
+
+
+@pytest.mark.parametrize("small", [10, 0])
+def test_suppressed_groups_follow_from_pairs(spark, small):
+    """2 goes by 1; 3 stays, as 2 is gone; 4 goes by 3, and 5 by 1, though 4 is gone."""
+    ruled = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4), (5, 1), (6, 5)], "gid long, by long")
+    assert sorted(r.gid for r in clones.suppressed(ruled, small).collect()) == [2, 4, 5]
