@@ -225,6 +225,25 @@ def test_packing_paths_in_rounds_are_those_of_one_task(spark):
         assert {r.node: (r.first, r.place) for r in packing.paths(made, most).collect()} == want
 
 
+def test_packing_paths_have_no_plan_over_all_rounds(spark, monkeypatch):
+    """Whatever is written is one round's work and broadcasts nothing; before, the last plan joined all rounds."""
+    rng = np.random.default_rng(6)
+    at = rng.random((300, 3))
+    near, sim = exact_neighbours(-((at[:, None] - at) ** 2).sum(2))
+    rows = [(i, [(int(sim[i, j] * 1000), ~int(j)) for j in near[i]]) for i in range(300)]
+    made = packing.materialise(spark.createDataFrame(rows, "node bigint, near array<struct<s: int, b: bigint>>"), "near")
+    plans, write = [], packing.materialise
+
+    def noted(df, what, *more):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, what, *more)
+
+    monkeypatch.setattr(packing, "materialise", noted)
+    assert packing.paths(made, 700).count() == 300
+    assert sum(what == "level" for what, _ in plans) > 2
+    assert max(plan.count("SortMergeJoin") for _, plan in plans) <= 6 and not any("Broadcast" in plan for _, plan in plans)
+
+
 def test_packing_is_the_same_however_much_one_task_takes(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     seen = []
